@@ -1,0 +1,6 @@
+"""All named queries of the core and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
