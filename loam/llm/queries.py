@@ -3,11 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loam.llm import bpe, packing, tokens
+from loam.llm import bpe, leaks, neardups, packing, tokens
 from loam.session import read
 
 
+def _near(spark: SparkSession, d: str):
+    return neardups.near_duplicates(read(spark, d, "rfc4136"), "record_id", "extracted_text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = _near(spark, d)
+    return neardups.expand(links, members, "record_id").select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d)[0]
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardups.classes(*_near(spark, d), "record_id")
+
+
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    asked = read(spark, d, "domain_exact_generation_queries").select(
+        F.col("id").alias("item_id"), F.concat(F.coalesce("prompt", F.lit("")), F.lit(" "), F.coalesce("expected_continuation", F.lit(""))).alias("item")
+    )
+    return asked.unionByName(read(spark, d, "evaluation").select(F.col("pair_id").alias("item_id"), F.col("response").alias("item")))
+
+
+def _leaks(spark: SparkSession, d: str):
+    return leaks.find_leaks(read(spark, d, "documents"), "doc_id", "text", _held_out(spark, d), "item_id", "item")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)[0].select("doc_id", "item_id").distinct()
+
+
+def p2_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(_leaks(spark, d)[0], _held_out(spark, d), "doc_id", "item_id", "item")
+
+
+def p2_near_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)[1]
+
+
 def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(read(spark, d, "rfc4136"), "record_id", "extracted_text", "source_corpus", "lang", "domain")
 
@@ -28,6 +69,6 @@ def p8_container_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, d), read(spark, d, "pack_capacity"))
 
 
-QUERIES = {f.__name__: f for f in (p3_token_budget, p3_record_tokens, p7_ids, p8_containers, p8_container_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p7_ids, p8_containers, p8_container_fill)}
 
 SQL: dict[str, str] = {}
