@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once an application, whatever their own path holds."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).parent
+    at = Path(tempfile.mkdtemp(prefix="loam-package-")) / "loam_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(at))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
@@ -51,6 +70,7 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     The files go when the driver's process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     local = spark.conf.get("loam.checkpoint.dir", None)
     path = f"{(local or shared_dir(spark)).rstrip('/')}/loam-{os.getpid()}-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
@@ -75,4 +95,5 @@ atexit.register(forget)
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
