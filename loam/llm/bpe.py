@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.session import ship
+
 #: Code points per inner batch, symbols per block, and pieces kept in a worker's cache.
 CHUNK, BLOCK, CACHED = 1 << 20, 64, 400_000
 
@@ -239,6 +241,7 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
 
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary's bytes (under 2 MB, whatever the input) for all executors."""
+    ship(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
