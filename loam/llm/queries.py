@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, leaks, neardups, packing, tokens
+from loam.llm import bpe, leaks, neardups, packing, splits, tokens
 from loam.session import read
 
 
@@ -57,6 +57,22 @@ def p3_record_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_tokens(read(spark, d, "rfc4136"), "record_id", "extracted_text")
 
 
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    return splits.groups(read(spark, d, "domain_exact_generation_queries"), "id", ["source_document", "source_file"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _grouped(spark, d).where("component < id").select(F.col("component").alias("first_id"), "id")
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(_grouped(spark, d), "id", read(spark, d, "split_targets"))
+
+
+def p6_split_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_report(p6_splits(spark, d), read(spark, d, "split_targets"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(read(spark, d, "documents"), "doc_id", "text")
 
@@ -69,6 +85,6 @@ def p8_container_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, d), read(spark, d, "pack_capacity"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p7_ids, p8_containers, p8_container_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill)}
 
 SQL: dict[str, str] = {}
