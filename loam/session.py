@@ -97,3 +97,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
