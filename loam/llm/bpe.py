@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.session import ship
+from loam.session import map_arrow, ship
 
 #: Code points per inner batch, symbols per block, and pieces kept in a worker's cache.
 CHUNK, BLOCK, CACHED = 1 << 20, 64, 400_000
@@ -263,7 +263,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None, o
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists], names=[key, out])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
+    return map_arrow(df.select(key, text), run, f"`{key}` {kind}, `{out}` array<int>")
 
 
 def count_column(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
@@ -281,4 +281,4 @@ def count_column(df: DataFrame, key: str, text: str, path: str | None = None, ou
                 n[a:b] = np.diff(until[first])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=[key, out])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{out}` bigint")
+    return map_arrow(df.select(key, text), run, f"`{key}` {kind}, `{out}` bigint")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm import bpe, words
-from loam.session import written
+from loam.session import map_arrow, written
 
 #: Words in a term; largest bitmap in bits (16 MB): it bounds what is broadcast, whatever the input.
 TERM, LARGEST = 4, 1 << 27
@@ -46,7 +46,7 @@ def _terms(df: DataFrame, key: str, text: str, keep=None) -> DataFrame:
                 pos = at - first[owner] + np.array([v * SECOND for _, v, _ in read])[owner]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(pos), pa.array(term.view(np.int64))], names=[key, "pos", "term"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, pos bigint, term bigint")
+    return map_arrow(df.select(key, text), run, f"`{key}` {kind}, pos bigint, term bigint")
 
 
 def _bitmap(terms: DataFrame, count: int) -> np.ndarray:
@@ -137,4 +137,4 @@ def item_words(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
             _, first, _, _ = words.word_hashes(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first))], names=[item_key, "words"])
 
-    return items.select(item_key, item_text).mapInArrow(run, f"`{item_key}` {kind}, words bigint").groupBy(item_key).agg(F.max("words").alias("words"))
+    return map_arrow(items.select(item_key, item_text), run, f"`{item_key}` {kind}, words bigint").groupBy(item_key).agg(F.max("words").alias("words"))

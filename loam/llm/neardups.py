@@ -2,7 +2,8 @@
 
 A sketch takes the two smallest of all occurrence-labelled runs of ``SHINGLE`` words
 (under one hash function of several) and keeps them in text order.  Records that
-share a sketch are candidates.  A candidate is aligned: its shared runs of words are
+share ``SHARED`` sketches are candidates: at the threshold two records share a sketch
+with probability 0.7 squared times that of the same order, so of 48 about 12 to 20.  A candidate is aligned: its shared runs of words are
 laid into bands of diagonals (a moved block has a band of its own), and the edit
 distance within the main band is measured.  An alignment follows the text's order, and
 would refuse a reordered record, so what is kept is decided by the Jaccard similarity
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from loam.llm import bpe, words
 from loam.operators.components import connected_components
-from loam.session import written
+from loam.session import map_arrow, written
 
-#: Words in a run, sketches of a record, half the width of a band.
-SHINGLE, SKETCHES, BAND = 3, 32, 24
+#: Words in a run, sketches of a record, sketches that candidates share, half the width of a band.
+SHINGLE, SKETCHES, SHARED, BAND = 3, 48, 3, 24
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -79,7 +80,7 @@ def sketch(df: DataFrame, key: str, text: str, least_words: int = 20) -> DataFra
                         names=[key, "same", "n_runs", "seq", "sketches"],
                     )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, same bigint, n_runs bigint, seq array<bigint>, sketches array<bigint>")
+    return map_arrow(df.select(key, text), run, f"`{key}` {kind}, same bigint, n_runs bigint, seq array<bigint>, sketches array<bigint>")
 
 
 def _blocks(x: np.ndarray, y: np.ndarray) -> tuple[float, float, int]:
@@ -177,7 +178,7 @@ def _verify(pairs: DataFrame, threshold: float, key: str, kind: str) -> DataFram
                 names=["a", "b", "jaccard", "in_bands", "edit_similarity"],
             )
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, jaccard double, in_bands double, edit_similarity double")
+    return map_arrow(pairs.select("a", "b", "sa", "sb"), run, f"a {kind}, b {kind}, jaccard double, in_bands double, edit_similarity double")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -199,8 +200,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     cand = (
         buckets.join(other, "s")
         .where((F.col("k") < F.col("k2")) & (F.least("n_runs", "n2") >= lower * F.greatest("n_runs", "n2")))
-        .select(F.col("k").alias("a"), F.col("k2").alias("b"))
-        .distinct()
+        .groupBy(F.col("k").alias("a"), F.col("k2").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= SHARED)
+        .select("a", "b")
     )
     seqs = first.select(F.col(key).alias("k"), "seq")
     pairs = cand.join(seqs.select(F.col("k").alias("a"), F.col("seq").alias("sa")), "a").join(

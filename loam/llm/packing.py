@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm import bpe
-from loam.session import written
+from loam.session import map_arrow, written
 
 #: Items of a size that one task numbers, about.
 SHARD = 100_000
@@ -138,7 +138,7 @@ def fill(items: DataFrame, configs: list[tuple[str, int]], key: str, size: str)
                     out[own] = t[at, 3] + (number[own] - t[at, 1]) // t[at, 2]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), *b.columns[1:5]], names=["config", "container", key, "part", "first", "n"])
 
-    return numbered.mapInArrow(place, f"config string, container bigint, `{key}` {kind}, part bigint, first bigint, n bigint")
+    return map_arrow(numbered, place, f"config string, container bigint, `{key}` {kind}, part bigint, first bigint, n bigint")
 
 
 def pack_documents(docs: DataFrame, capacities: DataFrame, key: str, text: str, folder: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.words import INVISIBLE
 from loam.operators.components import connected_components
-from loam.session import written
+from loam.session import map_arrow, written
 
 _RFC = re.compile(r"(?:\brfc|request\s+for\s+comments)[\W_]*0*(\d+)")
 _PLACE = re.compile(r"[\s,;(\[]*\b(?:sections?|sec|chapters?|chap|ch|appendix|pages?|pp|part|figure|table)\b\.?\s*[\w.\-]+[\s)\]]*$|\s*§\s*[\w.]+\s*$")
@@ -71,7 +71,7 @@ def entities(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
             rows = [i for i, x in enumerate(lists) for _ in x]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([e for x in lists for e in x], pa.string())], names=[key, "entity"])
 
-    return df.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, entity string").distinct()
+    return map_arrow(df.select(key, *columns), run, f"`{key}` {kind}, entity string").distinct()
 
 
 def groups(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.labels import label, language
 from loam.llm import bpe
-from loam.session import written
+from loam.session import map_arrow, written
 
 
 def piece_postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,7 +43,7 @@ def piece_postings(df: DataFrame, key: str, text: str) -> DataFrame:
                     names=["piece", "keys", "times"],
                 )
 
-    return df.select(key, text).mapInArrow(run, f"piece string, keys array<{kind}>, times array<int>")
+    return map_arrow(df.select(key, text), run, f"piece string, keys array<{kind}>, times array<int>")
 
 
 def piece_lengths(pieces: DataFrame, path: str | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def piece_lengths(pieces: DataFrame, path: str | None = None) -> DataFrame:
             n = np.fromiter((len(enc[p]) for p in batch.column(0).to_pylist()), np.int32, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["piece", "n_ids"])
 
-    return pieces.select("piece").distinct().mapInArrow(run, "piece string, n_ids int")
+    return map_arrow(pieces.select("piece").distinct(), run, "piece string, n_ids int")
 
 
 def document_tokens(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
