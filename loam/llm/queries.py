@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, leaks, neardups, packing, pairs, splits, tokens
+from loam.llm import bpe, leaks, neardups, packing, pairs, repetition, splits, tokens
 from loam.session import read
 
 
@@ -57,6 +57,18 @@ def p3_record_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_tokens(read(spark, d, "rfc4136"), "record_id", "extracted_text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive(read(spark, d, "model_responses"), "response_id", "response")
+
+
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.score(read(spark, d, "model_responses"), "response_id", "response")[0].distinct()
+
+
+def p4_rules(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.rule_report(read(spark, d, "model_responses"), "response_id", "response")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(read(spark, d, "evaluation"), "pair_id", "instruction", "response")
 
@@ -89,6 +101,6 @@ def p8_container_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, d), read(spark, d, "pack_capacity"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p4_found, p4_scores, p4_rules, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill)}
 
 SQL: dict[str, str] = {}
