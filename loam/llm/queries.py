@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, leaks, neardups, packing, pairs, repetition, splits, tokens
+from loam.llm import bpe, leaks, neardups, packing, pairs, repetition, splits, subjects, tokens
 from loam.session import read
 
 
@@ -101,6 +101,19 @@ def p8_container_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, d), read(spark, d, "pack_capacity"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p4_found, p4_scores, p4_rules, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "subject_examples"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject: how many deal with it, and how much of them."""
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p4_found, p4_scores, p4_rules, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}
