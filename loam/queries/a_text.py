@@ -201,3 +201,11 @@ def perplexity_values(spark, d):
     return read(spark, d, "events").where("value is not null").select(
         "event_id", F.round(T.perplexity(v / 10), 6).alias("perplexity"), F.when(v < 100, F.round(F.exp(v / 100), 6)).otherwise(F.lit(float("inf"))).alias("adapter_perplexity"), T.percent(v / 1000).alias("percent_text")
     )
+
+
+@query()
+def norm_compatibility(spark, d):
+    """NFKC texts by digest (no SQL: the oracle's engine has no compatibility forms)."""
+    from loam.functions import normal
+
+    return read(spark, d, "documents").where("text is not null").select("doc_id", normal.normalised("text").alias("t")).select("doc_id", F.md5("t").alias("text_md5"))

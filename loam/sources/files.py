@@ -136,6 +136,6 @@ def read_flat(spark: SparkSession, path: str, length: int, dtype: str = "uint16"
 
 def parse_prompts(value: F.Column) -> F.Column:
     """array<string>: the prompts of one line of comma-separated values, quotes respected, blanks dropped."""
-    cells = F.regexp_extract_all(value, F.lit(r'("(?:[^"]|"")*"|[^,]+)'), 1)
+    cells = F.regexp_extract_all(value, F.lit(r'([ \t]*"(?:[^"]|"")*"[ \t]*|[^,]+)'), 1)
     bare = F.transform(cells, lambda c: T.strip(F.replace(T.sub(T.strip(c), r'^"|"$'), F.lit('""'), F.lit('"'))))
     return F.filter(bare, lambda c: c != "")
