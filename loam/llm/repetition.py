@@ -113,7 +113,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> dict:
     is the repetitive one.
     """
     names = sorted(patterns)
-    votes = np.array([[int(c) for c in p] for p in names]).reshape(len(names), -1)
+    votes = np.array([[int(c) for c in p] for p in names], int).reshape(len(names), len(RULES))
     count = np.array([patterns[p] for p in names], float)
     if not len(names) or not (votes < 2).any():
         return {"prior": 0.0, "right": {}, "posterior": {p: 0.0 for p in names}}
