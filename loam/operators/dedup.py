@@ -144,6 +144,7 @@ def candidate_pairs(signed: DataFrame, key: str, bands: int = 8) -> DataFrame:
 
 def similar_pairs(signed: DataFrame, key: str, threshold: float = 0.85, bands: int = 8) -> DataFrame:
     """(a, b, similarity): candidates whose signatures agree in at least that share of places."""
+    signed = written(signed)  # read three times
     one = signed.select(F.col(key).alias("a"), F.col("signature").alias("sa"))
     two = signed.select(F.col(key).alias("b"), F.col("signature").alias("sb"))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda v: v)) / F.size("sa")

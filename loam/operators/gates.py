@@ -47,18 +47,22 @@ def repetition_ratio(text: Column, cfg: GateConfig) -> Column:
     return T.let(F.filter(F.transform(F.split(text, cfg.paragraph_break), T.squeeze), lambda p: p != ""), ratio)
 
 
-def language_scores(text: Column, head: int = 2000) -> dict[str, Column]:
-    """Hits of each language's frequent words in the beginning of a text."""
-    w = F.regexp_extract_all(F.lower(F.substring(text, 1, head)), F.lit(r"[\p{L}]+"), 0)
+def language_scores(text: Column, head: int = 2000) -> Column:
+    """struct<en, de, fr, es>: hits of each language's frequent words in the beginning of a text."""
 
-    def hits(known: list[str]) -> Column:
+    def hits(w, known: list[str]) -> Column:
         return F.size(F.filter(w, lambda x: x.isin(*known))).cast("bigint")
 
-    return {k: hits(v.split()) for k, v in STOPWORDS.items()}
+    words = F.regexp_extract_all(F.lower(F.substring(text, 1, head)), F.lit(r"[\p{L}]+"), 0)
+    return T.let(words, lambda w: F.struct(*[hits(w, v.split()).alias(k) for k, v in STOPWORDS.items()]))
 
 
-def best_language(scores: dict[str, Column]) -> Column:
+def best_language(scores: Column) -> Column:
     """The language with most hits; 'undetermined' without hits or with a tie."""
+    return T.let(scores, lambda s: _best({k: s[k] for k in STOPWORDS}))
+
+
+def _best(scores: dict[str, Column]) -> Column:
     top = F.greatest(*scores.values())
     ties = sum(F.when(s == top, 1).otherwise(0) for s in scores.values())
     out = F.when((top == 0) | (ties > 1), "undetermined")

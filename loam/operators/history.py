@@ -82,3 +82,18 @@ def newest_artifact(files: DataFrame, run: str, path: str) -> DataFrame:
     """One file of each run: final ones before checkpoints, then the shallowest, then by path."""
     w = Window.partitionBy(run).orderBy(F.col(path).contains("checkpoint-"), F.size(F.split(path, "/")), path)
     return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def extremes(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
+    """(series, first, last, least) of each series' values in order."""
+    o = F.struct(*order)
+    return df.where(F.col(value).isNotNull()).groupBy(series).agg(F.min_by(value, o).alias("first"), F.max_by(value, o).alias("last"), F.min(value).alias("least"))
+
+
+def run_deltas(runs: DataFrame) -> DataFrame:
+    """``runs`` with the change of loss and perplexity, absolute and in percent, and GOOD, NEEDS IMPROVEMENT, UNCHANGED or UNAVAILABLE."""
+    a, b = F.col("initial_loss"), F.col("final_loss")
+    x = runs.withColumn("loss_change", b - a).withColumn("loss_change_percent", F.when(a != 0, (b - a) / a * 100))
+    p, q = T.perplexity("initial_loss", 100.0), T.perplexity("final_loss", 100.0)
+    x = x.withColumn("perplexity_change", q - p).withColumn("perplexity_change_percent", F.when(p != 0, (q - p) / p * 100))
+    return x.withColumn("state", F.when(a.isNull() | b.isNull(), "UNAVAILABLE").when(b < a, "GOOD").when(b > a, "NEEDS IMPROVEMENT").otherwise("UNCHANGED"))

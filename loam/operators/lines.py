@@ -93,22 +93,31 @@ def is_suspicious(line: Column) -> Column:
 
 def post_clean(text: Column, cfg: LineConfig = LineConfig()) -> Column:
     """The cleaned text; null for null."""
+    trail = f"[{T.WS.replace(chr(92) + 'n', '')}]+(?=\n|\\z)"
     x = T.sub(T.line_ends(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
     if cfg.encoded:
         x = T.sub(x, PEM)
+    x = T.sub(x, trail)
 
-    def line(v):
-        v = T.sub(v, f"[{T.WS}]+\\z")
-        v = remove_urls(v) if cfg.urls else v
-        v = remove_encoded(v) if cfg.encoded else v
-        v = split_packed(v) if cfg.packed_lists else v
-        v = repair_headings(v) if cfg.joined_headings else v
-        return T.sub(v, f"[{T.WS}]+\\z")
+    def by_line(pattern, body):
+        """Line by line, but only texts in which there is anything to do."""
+        return lambda v: F.when(v.rlike(pattern), F.array_join(body(F.split(v, "\n")), "\n")).otherwise(v)
 
-    lines = F.transform(F.split(x, "\n"), line)
+    steps = []
+    if cfg.urls:
+        steps.append(by_line(r"(?i)https?://", lambda ls: F.transform(ls, remove_urls)))
+    if cfg.encoded:
+        steps.append(remove_encoded)  # no pattern crosses a line
+    if cfg.packed_lists:
+        steps.append(by_line(f"[^{T.WS}]{{60,}}", lambda ls: F.transform(ls, split_packed)))
+    if cfg.joined_headings:
+        steps.append(by_line(r"[A-Za-z]{30,}|\b(?:Table|Figure|Example)[0-9]+:", lambda ls: F.transform(ls, repair_headings)))
+    steps.append(lambda v: T.sub(v, trail))
     if cfg.suspicious:
-        lines = F.filter(lines, lambda v: ~is_suspicious(v))
-    out = T.strip(T.sub(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
+        steps.append(by_line(f"[^{T.WS}]{{160,}}", lambda ls: F.filter(ls, lambda v: ~is_suspicious(v))))
+    for step in steps:
+        x = T.let(x, step)
+    out = T.strip(T.sub(x, "\n{3,}", "\n\n"))
     return T.let(out, lambda o: F.when(F.length(o) < cfg.min_chars, text).otherwise(F.concat(o, F.lit("\n"))))
 
 

@@ -218,3 +218,25 @@ def resolve_by_name(left: DataFrame, name: str, right: DataFrame, stem: str, key
     """
     hit = left.select(key, name).join(F.broadcast(right.select(stem)), F.col(name).contains(F.col(stem)))
     return hit.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(stem).alias(stem)).where("n = 1").drop("n")
+
+
+def retention_verdict(base: Column, new: Column) -> Column:
+    """Improved, Degraded or Retained by the sign of a change in coverage; null counts as 0."""
+    d = F.coalesce(new, F.lit(0.0)) - F.coalesce(base, F.lit(0.0))
+    return F.when(d > 0, "Improved").when(d < 0, "Degraded").otherwise("Retained")
+
+
+def relative_change(base: Column, new: Column) -> Column:
+    """The change in percent of the base; null for a base of 0."""
+    return F.when(base != 0, (new - base) / base * 100)
+
+
+def close(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
+    """Whether two values agree relative to the larger."""
+    return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b))
+
+
+def resolve_by_id(left: DataFrame, key: str, ident: str, right: DataFrame, name: str) -> DataFrame:
+    """(key, name): where only one file has the identifier, that file: the fallback of :func:`resolve_by_name`."""
+    only = right.groupBy(ident).agg(F.countDistinct(name).alias("_n"), F.min(name).alias(name)).where("_n = 1").drop("_n")
+    return left.select(key, ident).join(only, ident).select(key, name)

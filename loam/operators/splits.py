@@ -104,3 +104,13 @@ def cap_per_group(df: DataFrame, group: str, order: list, most: int) -> DataFram
 def round_robin(ranked: DataFrame, group: str, target: int, seed: int = 42) -> DataFrame:
     """``target`` rows: every group's first (groups in hash order), then every group's second, and so on."""
     return ranked.withColumn("_g", T.seeded_rank(seed, group)).orderBy("rank", "_g", group).limit(target).drop("_g")
+
+
+def balance(total: int, first_capacity: int, second_capacity: int) -> tuple[int, int]:
+    """How many rows each of two strata gives: half each, what one lacks from the other; too few of both is an error."""
+    first = min(total // 2, first_capacity)
+    second = min(total - first, second_capacity)
+    first = min(total - second, first_capacity)
+    if first + second < total:
+        raise ValueError("the strata hold too few rows")
+    return first, second

@@ -58,8 +58,8 @@ def gate_measures(spark, d):
 def language_scores(spark, d):
     """Frequent-word hits of four languages, and the best."""
     x = read(spark, d, "documents").select("doc_id", T.canonical(F.coalesce("text", F.lit(""))).alias("t"))
-    s = x.select("doc_id", *[v.alias(k) for k, v in G.language_scores(F.col("t")).items()])
-    return s.withColumn("language", G.best_language({k: F.col(k) for k in G.STOPWORDS}))
+    s = x.select("doc_id", G.language_scores(F.col("t")).alias("s"))
+    return s.select("doc_id", "s.*", G.best_language(F.col("s")).alias("language"))
 
 
 @query(REASONS + "select doc_id, content_md5, characters, round(repetition, 9) as repetition, language, reason, duplicate_of from g")

@@ -217,3 +217,38 @@ def markdown_report_rows(spark, d):
     c = F.replace(T.squeeze(F.coalesce("response", F.lit(""))), F.lit("|"), F.lit("\\|"))
     x = _enriched(spark, d).select("response_id", F.coalesce("query_id", F.lit("-")).alias("q"), c.alias("c"))
     return x.select("response_id", F.concat(F.lit("| "), "q", F.lit(" | "), F.when(F.length("c") > 60, F.concat(F.substring("c", 1, 59), F.lit("…"))).otherwise(F.col("c")), F.lit(" |")).alias("row_text"))
+
+
+@query(f"with {_SCORED}, {_LAST} select query_set, model_name, grouping(model_name)::int as total, count(*) filter (cd > 0)::bigint as improved, count(*) filter (cd < 0)::bigint as degraded, count(*) filter (cd = 0)::bigint as retained from pr group by grouping sets ((query_set), (query_set, model_name))")
+def retention_verdicts(spark, d):
+    """Improved, degraded and retained by set, and by set and model."""
+    x = _pairs(spark, d).withColumn("v", S.retention_verdict(F.col("base_concept_recall"), F.col("new_concept_recall")))
+    n = lambda v: F.count_if(F.col("v") == v)
+    return x.groupingSets([[F.col("query_set")], [F.col("query_set"), F.col("model_name")]], F.col("query_set"), F.col("model_name")).agg(
+        F.grouping("model_name").cast("int").alias("total"), n("Improved").alias("improved"), n("Degraded").alias("degraded"), n("Retained").alias("retained")
+    )
+
+
+@query("""with s as (select event_type, event_id, value / 100 as base, value / 100 * (0.9 + (event_id % 3) * 0.1) as new, user_id % 7 + 1 as n from events where value is not null),
+a as (select event_type, sum(base * n) / sum(n) as b, sum(new * n) / sum(n) as w from s group by event_type) select event_type, round((exp(w) - exp(b)) / exp(b) * 100, 4) as change_percent, case when -(exp(w) - exp(b)) / exp(b) * 100 >= 10 then 'Good' when -(exp(w) - exp(b)) / exp(b) * 100 > 0 then 'Satisfactory' else 'Needs Improvement' end as domain_verdict,
+case when (exp(w) - exp(b)) / exp(b) * 100 <= 5 then 'Good' when (exp(w) - exp(b)) / exp(b) * 100 <= 10 then 'Satisfactory' else 'Needs Improvement' end as generic_verdict, true as recomputed from a""")
+def perplexity_changes(spark, d):
+    """Two models' losses joined by sequence: change of perplexity, verdicts, and a recomputation within tolerance."""
+    v = F.col("value") / 100
+    s = read(spark, d, "events").where("value is not null").select("event_type", "event_id", v.alias("loss"), (F.col("user_id") % 7 + 1).alias("tokens"))
+    new = s.withColumn("loss", F.col("loss") * (0.9 + (F.col("event_id") % 3) * 0.1))
+    both = S.paired(s, new, ["event_type", "event_id", "tokens"], ["loss"])
+    b, w = S.token_weighted(both, "base_loss", "tokens", "event_type"), S.token_weighted(both, "new_loss", "tokens", "event_type")
+    direct = S.token_weighted(s, "loss", "tokens", "event_type").select("event_type", F.col("perplexity").alias("again"))
+    p = S.paired(b, w, ["event_type"], ["perplexity"]).join(direct, "event_type")
+    change = S.relative_change(F.col("base_perplexity"), F.col("new_perplexity"))
+    return p.select("event_type", F.round(change, 4).alias("change_percent"), S.perplexity_band(change, "domain").alias("domain_verdict"), S.perplexity_band(change, "generic").alias("generic_verdict"), S.close(F.col("base_perplexity"), F.col("again"), 1e-9).alias("recomputed"))
+
+
+@query("with f as (select id, min('exact') as name, count(*) as n from (select id from domain_exact_generation_queries union all select id from generic_forgetting_queries) group by id), r as (select distinct response_id, query_id from model_responses) select response_id, case when query_id in (select id from domain_exact_generation_queries) then 'exact' else 'general' end as query_file from r where query_id in (select id from f where n = 1)")
+def resolve_by_query(spark, d):
+    """The query file of each response by its identifier, where only one file has it."""
+    ids = read(spark, d, "domain_exact_generation_queries").select(F.col("id").alias("query_id"), F.lit("exact").alias("query_file")).unionByName(
+        read(spark, d, "generic_forgetting_queries").select(F.col("id").alias("query_id"), F.lit("general").alias("query_file"))
+    )
+    return S.resolve_by_id(read(spark, d, "model_responses").select("response_id", "query_id").distinct(), "response_id", "query_id", ids, "query_file")

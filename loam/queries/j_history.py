@@ -102,3 +102,21 @@ def box_overlaps(spark, d):
     apart = (F.col("x") > F.col("l_quantity") + 5) | (F.col("x") + 5 < F.col("l_quantity")) | (F.col("y") > F.col("l_tax") + 0.02) | (F.col("y") + 0.02 < F.col("l_tax"))
     x = l.join(m, "l_orderkey").where((F.col("l_linenumber") != F.col("m")) & ~apart)
     return x.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("overlaps"))
+
+
+@query(
+    f"""with {_RUNS}, p as (select *, exp(initial_loss) as ip, exp(final_loss) as fp from r)
+select run, round(final_loss - initial_loss, 6) as loss_change, case when initial_loss <> 0 then round((final_loss - initial_loss) / initial_loss * 100, 4) end as loss_change_percent, round((fp - ip) / ip * 100, 4) as perplexity_change_percent,
+case when initial_loss is null or final_loss is null then 'UNAVAILABLE' when final_loss < initial_loss then 'GOOD' when final_loss > initial_loss then 'NEEDS IMPROVEMENT' else 'UNCHANGED' end as state from p"""
+)
+def run_deltas(spark, d):
+    """Change of loss and perplexity of each run."""
+    k, bal = F.col("s_suppkey"), F.abs(F.col("s_acctbal").cast("double"))
+    runs = read(spark, d, "supplier").select(k.alias("run"), F.when(k % 11 != 0, bal / 3000).alias("initial_loss"), F.when(k % 13 != 0, bal / 3500 + (k % 3) * 0.2).alias("final_loss"))
+    return H.run_deltas(runs).select("run", F.round("loss_change", 6).alias("loss_change"), F.round("loss_change_percent", 4).alias("loss_change_percent"), F.round("perplexity_change_percent", 4).alias("perplexity_change_percent"), "state")
+
+
+@query("select user_id, arg_min(value, (ts, event_id)) as first, arg_max(value, (ts, event_id)) as last, min(value) as least from events where value is not null group by user_id")
+def series_extremes(spark, d):
+    """First, last and least value of each series."""
+    return H.extremes(_events(spark, d), "user_id", ["ts", "event_id"], "value")

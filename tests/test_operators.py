@@ -210,3 +210,14 @@ def test_context_length():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_balance():
+    assert splits.balance(200, 500, 500) == (100, 100)
+    assert splits.balance(200, 30, 500) == (30, 170)
+    assert splits.balance(201, 500, 40) == (161, 40)
+    try:
+        splits.balance(10, 3, 3)
+    except ValueError:
+        return
+    raise AssertionError
