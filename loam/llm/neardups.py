@@ -3,7 +3,7 @@
 A sketch takes the two smallest of all occurrence-labelled runs of ``SHINGLE`` words
 (under one hash function of several) and keeps them in text order.  Records that
 share ``SHARED`` sketches are candidates: at the threshold two records share a sketch
-with probability 0.7 squared times that of the same order, so of 48 about 12 to 20.  A candidate is aligned: its shared runs of words are
+with probability 0.7 squared times that of the same order, so of 64 about 16 to 30.  A candidate is aligned: its shared runs of words are
 laid into bands of diagonals (a moved block has a band of its own), and the edit
 distance within the main band is measured.  An alignment follows the text's order, and
 would refuse a reordered record, so what is kept is decided by the Jaccard similarity
@@ -23,7 +23,7 @@ from loam.operators.components import connected_components
 from loam.session import map_arrow, written
 
 #: Words in a run, sketches of a record, sketches that candidates share, half the width of a band.
-SHINGLE, SKETCHES, SHARED, BAND = 3, 48, 3, 24
+SHINGLE, SKETCHES, SHARED, BAND = 3, 64, 3, 24
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
