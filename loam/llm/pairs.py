@@ -118,9 +118,8 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
     if lines and listed == len(lines):
         end["list"] = 1.0
     if not stop and last != "`":
-        kind = "list " if "list" in end else ""
-        for n in (1, 2, 3, 4):
-            end[kind + "end" + " ".join(tail[-n:])] = 1.0
+        for n in (1, 2, 3, 4) if "list" not in end else ():  # an item may end with any word
+            end["end" + " ".join(tail[-n:])] = 1.0
         cut = max((i for i, t in enumerate(tail) if t in ".!?:"), default=-1)
         sentence = tail[cut + 1 :]
         end["sentence of " + str(min(len(sentence), 12))] = 0.5
@@ -138,7 +137,7 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
     ref["short"] = 1.0 if len(toks) < 30 else 0.0
     # copy: what of the response is the instruction
     cop = {"bias": 1.0}
-    a, b = _WORD.findall(ask.lower()), _WORD.findall(say.lower())
+    a, b = ([w for w in _WORD.findall(x.lower()) if w not in ("a", "an", "the")] for x in (ask, say))
     if a and b:
         ca = Counter(a)
         inside = sum(w in ca for w in b) / len(b)
@@ -159,7 +158,7 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
     if want:
         lan["want " + want] = 0.2
         lan["differs" if got and got != want else ("same" if got else "unclear")] = 2.0
-        words = re.findall(r"[^\W\d_]+", say.lower())
+        words = re.findall(r"[^\W\d_]+", say.lower()) if got else []
         scale = 2.0 / max(6.0, len(words)) ** 0.5
         for w in words:
             if w in known or any(w in m for m in _MARKS.values()):
