@@ -13,6 +13,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from zlib import crc32
 
@@ -127,7 +128,7 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
         if tail[-1] in ("Un", "Wn"):
             end["unknown end"] = 2.0
         if len(sentence) == 1:
-            end["one word"] = 1.0
+            end["only word" if len(tail) == 1 else "one word"] = 2.0
     # refusal: n-grams of the whole response
     ref = {"bias": 1.0}
     scale = 1.0 / max(4.0, len(toks)) ** 0.5
@@ -320,15 +321,22 @@ def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int
     words = Counter(w for _, i, r, y in rows if not y for w in set(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", f"{i} {r}")))
     known = frozenset(w.lower() for w, n in words.items() if n >= 3 and w[1:].islower() or w in ("a", "I", "y"))
     known |= frozenset(w for text in REFUSALS.values() for part in text for x in part for w in _WORD.findall(x.lower()))
-    named = [features(i, r, known) for _, i, r, _ in rows]
+    # hashed at once: as dictionaries the features would be most of the driver's memory
+    places = {label: array("i") for label in LABELS}
+    values = {label: array("f") for label in LABELS}
+    sizes = {label: array("i") for label in LABELS}
+    for _, i, r, _ in rows:
+        for label, named in features(i, r, known).items():
+            at, v = _hashed(named)
+            places[label].extend(at)
+            values[label].extend(v)
+            sizes[label].append(len(at))
     held = np.array([g % 4 == 3 for g, *_ in rows], bool)
     model: dict = {"known": known, "weights": {}, "cut": {}, "held_out": {}}
     for label in LABELS:
         y = np.array([label in labels for *_, labels in rows], float)
-        hashed = [_hashed(n[label]) for n in named]
-        start = np.concatenate([[0], np.cumsum([len(i) for i, _ in hashed])]).astype(int)
-        idx = np.array([x for i, _ in hashed for x in i], np.int64)
-        val = np.array([x for _, v in hashed for x in v], float)
+        start = np.concatenate([[0], np.cumsum(np.array(sizes[label], np.int64))]).astype(np.int64)
+        idx, val = np.array(places[label], np.int64), np.array(values[label], np.float64)
         w, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
         order = np.flatnonzero(~held)
         shuffle = np.random.default_rng(seed)
@@ -341,9 +349,8 @@ def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int
                 i, v, row = idx[take], val[take], np.repeat(np.arange(len(own)), n)
                 score = np.bincount(row, w[i] * v, len(own))
                 p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-                share = np.where(y[own] > 0, 1.0, 1.0)
                 some, back = np.unique(i, return_inverse=True)
-                g = np.bincount(back, ((p - y[own]) * share)[row] * v, len(some)) / len(own) + 1e-6 * w[some]
+                g = np.bincount(back, (p - y[own])[row] * v, len(some)) / len(own) + 1e-6 * w[some]
                 seen[some] += g * g
                 w[some] -= 0.3 * g / np.sqrt(seen[some])
         score = np.array([float(w[idx[a:b]] @ val[a:b]) for a, b in zip(start[:-1], start[1:])])

@@ -11,13 +11,16 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.words import INVISIBLE
 from loam.operators.components import connected_components
 from loam.session import map_arrow, written
 
+#: A component of more than this part of all rows is placed by itself: as many at most come to the driver.
+LARGE = 500
+
 _RFC = re.compile(r"(?:\brfc|request\s+for\s+comments)[\W_]*0*(\d+)")
 _PLACE = re.compile(r"[\s,;(\[]*\b(?:sections?|sec|chapters?|chap|ch|appendix|pages?|pp|part|figure|table)\b\.?\s*[\w.\-]+[\s)\]]*$|\s*§\s*[\w.]+\s*$")
 _EXTENSION = re.compile(r"\.(?:pdf|txt|html?|docx?|md|xml|rst|json)$")
@@ -93,14 +96,14 @@ def assign(grouped: DataFrame, key: str, targets: DataFrame, seed: str = "split"
     """(key, component, split_name): whole components into splits of about the given proportions.
 
     ``targets`` is a table of a few rows (split_name, proportion).  Components of more than
-    a hundredth of all rows (at most a hundred of them) go first, each to the split that lacks
+    the LARGEth part of all rows (at most LARGE of them) go first, each to the split that lacks
     most; the others fall by the hash of their identifier into ranges proportional to
     what the splits still lack.
     """
     wanted = [(r.split_name, float(r.proportion)) for r in targets.orderBy("split_name").collect() if r.proportion and r.proportion > 0]
     sizes = written(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sizes.where(F.col("n") > max(1, total / 100)).orderBy(F.desc("n"), "component").collect()
+    large = sizes.where(F.col("n") > max(1, total / LARGE)).orderBy(F.desc("n"), "component").collect()
     whole = sum(p for _, p in wanted)
     lack = {name: p / whole * total for name, p in wanted}
     fixed = {}
@@ -126,14 +129,11 @@ def assign(grouped: DataFrame, key: str, targets: DataFrame, seed: str = "split"
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """(split_name, proportion, records, components, share)."""
     per = assigned.groupBy("split_name").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("component").alias("components"))
-    total = assigned.agg(F.count(F.lit(1)).alias("total"))
+    all_splits = Window.partitionBy()  # over the few rows of the targets
+    n = F.coalesce("records", F.lit(0))
     return (
         F.broadcast(targets)
         .join(per, "split_name", "left")
-        .join(F.broadcast(total))
-        .select(
-            "split_name", "proportion",
-            F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("components", F.lit(0)).alias("components"),
-            (F.coalesce("records", F.lit(0)) / F.col("total")).alias("share"),
-        )
-    )
+        .select("split_name", "proportion", n.alias("records"), F.coalesce("components", F.lit(0)).alias("components"))
+        .withColumn("share", F.try_divide(F.col("records"), F.sum("records").over(all_splits)))
+    )
