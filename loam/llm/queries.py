@@ -116,4 +116,18 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p4_found, p4_scores, p4_rules, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill, p9_found, p9_composition)}
 
-SQL: dict[str, str] = {}
+#: Where SQL can say what a query finds, whatever way the operator takes.
+SQL: dict[str, str] = {
+    "p1_found": r"""
+with w as (select record_id, regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}_]+') as w from rfc4136 where extracted_text is not null),
+s as (select distinct record_id, unnest(list_transform(range(1, len(w) - 1), lambda i: md5(array_to_string(w[i:i+2], ' ')))) as s from w where len(w) >= 20),
+n as (select record_id, count(*) as n from s group by record_id),
+c as (select a.record_id as a, b.record_id as b, count(*) as c from s a join s b on a.s = b.s and a.record_id < b.record_id group by all)
+select a as record_id_a, b as record_id_b from c join n x on x.record_id = a join n y on y.record_id = b where c >= 0.7 * (x.n + y.n - c)""",
+    "p4_found": r"""
+with r as (select row_number() over () as i, response_id, regexp_extract_all(lower(response), '\p{L}+') as w from (select distinct response_id, response from model_responses where response is not null)),
+g as (select i, unnest(range(1, len(w) - 2)) as p, w from r where len(w) >= 12),
+f as (select i, p, min(p) over (partition by i, array_to_string(w[p:p+3], ' ')) < p as again from g),
+c as (select i, count(distinct p + k) as covered from f, (select unnest(range(4)) as k) where again group by i)
+select distinct response_id from r join c using (i) where covered >= 0.3 * len(w)""",
+}
