@@ -124,6 +124,16 @@ s as (select distinct record_id, unnest(list_transform(range(1, len(w) - 1), lam
 n as (select record_id, count(*) as n from s group by record_id),
 c as (select a.record_id as a, b.record_id as b, count(*) as c from s a join s b on a.s = b.s and a.record_id < b.record_id group by all)
 select a as record_id_a, b as record_id_b from c join n x on x.record_id = a join n y on y.record_id = b where c >= 0.7 * (x.n + y.n - c)""",
+    # ligatures and full-width letters stand for the compatibility forms, which this engine lacks
+    "p2_found": r"""
+with t as (select doc_id::varchar as k, text as x from documents where text is not null union all
+  select 'i' || id, coalesce(prompt, '') || ' ' || coalesce(expected_continuation, '') from domain_exact_generation_queries union all select distinct 'i' || pair_id, response from evaluation where response is not null),
+b as (select k, regexp_replace(x, '([\p{L}\p{N}_])[-‐\x{AD}][\x{AD}\x{200B}-\x{200D}\x{FEFF}]*[ \t]*\r?\n[ \t\r\n>|]*([\p{L}\p{N}_])', '\1\2', 'g') as x from t union
+  select k, regexp_replace(x, '([\p{L}\p{N}_])\x{AD}[ \t]*\r?\n[ \t\r\n>|]*([\p{L}\p{N}_])', '\1\2', 'g') from t),
+l as (select k, regexp_extract_all(lower(translate(replace(replace(replace(replace(replace(regexp_replace(x, '[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE0F}\x{FEFF}]', '', 'g'),
+  'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789')), '[\p{L}\p{N}]+') as w from b),
+g as (select distinct k, unnest(list_transform(range(1, len(w) - 8), lambda i: md5(array_to_string(w[i:i+9], ' ')))) as g from l where len(w) >= 10)
+select distinct d.k::bigint as doc_id, i.k[2:] as item_id from g d join g i using (g) where i.k[1:1] = 'i' and d.k[1:1] <> 'i'""",
     "p4_found": r"""
 with r as (select row_number() over () as i, response_id, regexp_extract_all(lower(response), '\p{L}+') as w from (select distinct response_id, response from model_responses where response is not null)),
 g as (select i, unnest(range(1, len(w) - 2)) as p, w from r where len(w) >= 12),
