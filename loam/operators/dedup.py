@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.grouping import ranked, with_group_values
 from loam.session import map_arrow, written
 
 PRIME = 4294967291
@@ -17,13 +18,9 @@ PRIME = 4294967291
 
 def first_occurrences(df: DataFrame, key: str, content: Column) -> DataFrame:
     """Every row with ``duplicate_of``: the smallest key with equal content, null for that row itself. Null content is never a duplicate."""
-    w = Window.partitionBy("_h")
-    first = F.min(key).over(w)
-    return (
-        df.withColumn("_h", F.coalesce(F.sha2(content, 256), F.concat(F.lit("null:"), F.col(key).cast("string"))))
-        .withColumn("duplicate_of", F.when(first < F.col(key), first))
-        .drop("_h")
-    )
+    x = df.withColumn("_h", F.coalesce(F.sha2(content, 256), F.concat(F.lit("null:"), F.col(key).cast("string"))))
+    slim = with_group_values(x.select(key, "_h"), "_h", key, _first=F.min(key)).where(F.col("_first") < F.col(key)).select(key, F.col("_first").alias("duplicate_of"))
+    return df.join(slim.distinct(), key, "left")
 
 
 #: List items and commands, by how a line begins.
@@ -64,24 +61,14 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
 def paragraph_dedup(docs: DataFrame, key: str, text: str, most: int = 1, min_chars: int = 150) -> DataFrame:
     """(key, pos, paragraph, kind, nth, kept): prose paragraphs beyond the first ``most`` equal ones in the corpus are dropped.
 
-    Paragraphs of other kinds are always kept.  A paragraph that a third of all texts holds makes
-    a large window partition: counting goes by (digest, part of the key) first and is shifted by what earlier
-    parts hold, so no task sees all its copies.
+    Paragraphs of other kinds are always kept.  Places among copies come from ranks over range partitions
+    (:func:`loam.operators.grouping.ranked`), so no task sees all copies of a paragraph that a third of all texts
+    hold.  What is ranked are digests; texts are read twice.
     """
     p = paragraphs(docs, key, text).withColumn("kind", paragraph_kind(F.col("paragraph"), min_chars))
     p = p.withColumn("digest", F.sha2(F.lower(T.squeeze("paragraph")), 256))
-    prose = p.where("kind = 'prose'")
-    ordered = prose.select("digest", key, "pos")
-    # ranges of the key, so that ranks follow the order of keys
-    bounds = docs.stat.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.01) if dict(docs.dtypes)[key] in ("int", "bigint", "double") else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + F.when(F.col(key) > b, 1).otherwise(0)
-    ordered = ordered.withColumn("part", part)
-    inside = F.row_number().over(Window.partitionBy("digest", "part").orderBy(key, "pos"))
-    earlier = F.sum("n").over(Window.partitionBy("digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    shift = ordered.groupBy("digest", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("shift", F.coalesce(earlier, F.lit(0))).drop("n")
-    nth = ordered.withColumn("r", inside).join(shift, ["digest", "part"]).select(key, "pos", (F.col("r") + F.col("shift")).cast("bigint").alias("nth"))
+    prose = p.where("kind = 'prose'").select("digest", key, "pos")
+    nth = ranked(prose, ["digest"], [key, "pos"], [], "nth").select(key, "pos", (F.col("nth") + 1).alias("nth"))
     return (
         p.join(nth, [key, "pos"], "left")
         .withColumn("kept", F.col("nth").isNull() | (F.col("nth") <= most))

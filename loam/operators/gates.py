@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.grouping import with_group_values
+from loam.session import written
 
 #: Frequent words that tell languages apart.
 STOPWORDS = {
@@ -77,8 +79,8 @@ def gate_reasons(docs: DataFrame, key: str, text: str, cfg: GateConfig = GateCon
     ``reason`` is the first gate that a document fails - length, repetition,
     exact_duplicate, language - or null.  Only documents that pass all gates are kept, so
     a duplicate always names a kept one, that with the smallest key.  Equal texts pass or fail
-    alike, so one window over the digest decides them; null text counts as empty.
-    One shuffle, of digests and measures, never of texts.
+    alike, so the smallest key of a digest decides; null text counts as empty.  Texts are read once
+    and never shuffled; a digest that a third of all rows share is no hot group.
     """
     x = T.canonical(F.coalesce(F.col(text), F.lit("")))
     m = docs.select(F.col(key), x.alias("_t")).select(
@@ -87,11 +89,10 @@ def gate_reasons(docs: DataFrame, key: str, text: str, cfg: GateConfig = GateCon
     )
     early = F.when(F.col("characters") < cfg.min_chars, "length").when(F.col("repetition") > cfg.max_repetition, "repetition")
     wrong = (F.col("language") != cfg.language) if cfg.language else F.lit(False)
-    first = F.min(key).over(Window.partitionBy("content_md5"))
     dup = F.col("_first") < F.col(key)
     late = F.when(dup, "exact_duplicate").when(wrong, "language") if cfg.language_after_duplicates else F.when(wrong, "language").when(dup, "exact_duplicate")
     return (
-        m.withColumn("_first", first)
+        with_group_values(written(m), "content_md5", key, _first=F.min(key))
         .withColumn("reason", F.coalesce(early, late))
         .withColumn("duplicate_of", F.when(F.col("reason") == "exact_duplicate", F.col("_first")))
         .drop("_first")

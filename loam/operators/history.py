@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.grouping import first_rows, ranked
 
 
 def tumbling_means(df: DataFrame, series: str, order: list[str], value: str, size: int) -> DataFrame:
     """(series, window, start, end, mean): means of full windows of ``size`` rows in order; a last partial window is dropped."""
-    w = Window.partitionBy(series).orderBy(*order)
-    x = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w) - 1).withColumn("window", F.floor(F.col("_r") / size))
+    x = ranked(df.where(F.col(value).isNotNull()), [series], order, [value], "_r").withColumn("window", F.floor(F.col("_r") / size))
     g = x.groupBy(series, "window").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("start"), F.max("_r").alias("end"), F.avg(value).alias("mean"))
     return g.where(F.col("_n") == size).select(series, "window", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "mean")
 
@@ -41,8 +41,7 @@ def plateau(windows: DataFrame, series: str, threshold: float = 0.01, patience:
 
 def trailing_change(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
     """(series, n, previous, recent, percent, state): the last window against the one before; a window is a tenth of the rows, 5 to 20."""
-    down = Window.partitionBy(series).orderBy(*[F.desc(o) for o in order])
-    x = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(down)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(series)))
+    x = ranked(df.where(F.col(value).isNotNull()), [series], order, [value], "_up", "_n").withColumn("_r", F.col("_n") - F.col("_up"))
     x = x.withColumn("_w", F.least(F.lit(20), F.greatest(F.lit(5), F.floor(F.col("_n") / 10))))
     g = x.groupBy(series).agg(
         F.max("_n").alias("n"), F.avg(F.when((F.col("_r") > F.col("_w")) & (F.col("_r") <= 2 * F.col("_w")), F.col(value))).alias("previous"), F.avg(F.when(F.col("_r") <= F.col("_w"), F.col(value))).alias("recent"), F.max("_w").alias("w")
@@ -80,8 +79,7 @@ def run_table(runs: DataFrame) -> DataFrame:
 
 def newest_artifact(files: DataFrame, run: str, path: str) -> DataFrame:
     """One file of each run: final ones before checkpoints, then the shallowest, then by path."""
-    w = Window.partitionBy(run).orderBy(F.col(path).contains("checkpoint-"), F.size(F.split(path, "/")), path)
-    return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return first_rows(files, [run], [F.col(path).contains("checkpoint-"), F.size(F.split(path, "/")), F.col(path)])
 
 
 def extremes(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:

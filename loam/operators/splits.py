@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.grouping import first_k, ranked
 
 #: Buckets of the hash order; ranks within a bucket are windows, so no task sorts the whole table.
 BUCKETS = 256
@@ -57,12 +58,13 @@ def largest_remainder(sizes: DataFrame, stratum: str, n: str, fraction: float) -
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float, seed: int = 42) -> DataFrame:
-    """``df`` with ``split``: of each stratum as many rows as it is allocated, in hash order, are 'eval'; null strata are one."""
+    """``df`` with ``split``: of each stratum as many rows as it is allocated, in hash order, are 'eval'; null strata are one. Keys are unique."""
     x = df.withColumn("_s", F.coalesce(F.col(stratum), F.lit("none")))
     sizes = x.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     share = largest_remainder(sizes, "_s", "_n", fraction)
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy(T.seeded_rank(seed, key), key))
-    return x.withColumn("_r", rank).join(share.select("_s", "allocated"), "_s").withColumn("split", F.when(F.col("_r") <= F.col("allocated"), "eval").otherwise("train")).drop("_s", "_r", "allocated")
+    rank = ranked(x.withColumn("_h", T.seeded_rank(seed, key)), ["_s"], ["_h", key], [], "_r").select(F.col(key).alias("_k"), "_r", "_s")
+    side = rank.join(share.select("_s", "allocated"), "_s").select("_k", F.when(F.col("_r") < F.col("allocated"), "eval").otherwise("train").alias("split"))
+    return df.join(side, df[key] == side["_k"]).drop("_k")
 
 
 def disjoint_report(split: DataFrame, key: str, content: Column) -> DataFrame:
@@ -98,7 +100,7 @@ def choose_sources(sizes: list[tuple[str, int]], held_target: int, train_target:
 
 def cap_per_group(df: DataFrame, group: str, order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each group in the given order, with their rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= most)
+    return first_k(df, group, order, most)
 
 
 def round_robin(ranked: DataFrame, group: str, target: int, seed: int = 42) -> DataFrame:

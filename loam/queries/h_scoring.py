@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import scoring as S
+from loam.operators.grouping import first_rows
 from loam.queries import query
 from loam.queries.a_text import WS
 from loam.session import read
@@ -89,11 +90,9 @@ _VERDICT = "case when cd > 0 then 'Knowledge improved' when cd < 0 then 'Possibl
 
 
 def _stages(spark, d):
-    from pyspark.sql import Window
-
     x = _scored(spark, d).where(F.col("stage").isin("pre_cpt", "post_cpt"))
-    w = Window.partitionBy("stage", "query_id", "model_name").orderBy(F.col("timestamp_utc").desc_nulls_last(), F.desc("response_id"))
-    x = x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    age = F.coalesce(-F.unix_micros(F.col("timestamp_utc").cast("timestamp")), F.lit(1 << 62))
+    x = first_rows(x, ["stage", "query_id", "model_name"], [age, -F.col("response_id")])  # one query holds a tenth of the rows
     return x.where("stage = 'pre_cpt'"), x.where("stage = 'post_cpt'")
 
 
@@ -166,10 +165,9 @@ def token_f1_scores(spark, d):
 @query(f"with {_SRC}, t as (select query_id, model_name, response_id, {_F('response')} as p, {_F('expected')} as r from en where expected is not null), o as (select *, {_BAG('p', 'r')} as o from t), s as (select query_id, model_name, response_id, round(case when len(p) = 0 or len(r) = 0 or o = 0 then 0.0 else 2.0 * o / (len(p) + len(r)) end, 4) as f1 from o), w as (select *, row_number() over (partition by query_id order by f1 desc, model_name, response_id) = 1 as win from s) select model_name, count(*)::bigint as responses, round(avg(f1), 4) as average_f1, count(*) filter (f1 >= 0.30)::bigint as likely_correct, count(*) filter (win)::bigint as wins from w group by model_name")
 def model_wins(spark, d):
     """Average F1, likely correct answers and wins of each model; ties go to the first name."""
-    from pyspark.sql import Window
-
     x = _enriched(spark, d).where("expected_continuation is not null").select("query_id", "model_name", "response_id", F.round(S.token_f1(F.col("response"), F.col("expected_continuation")), 4).alias("f1"))
-    x = x.withColumn("win", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("f1"), F.col("model_name").asc_nulls_last(), "response_id")) == 1)
+    best = x.groupBy("query_id").agg(F.min_by("response_id", F.struct(-F.col("f1"), F.col("model_name").isNull(), "model_name", "response_id")).alias("best"))
+    x = x.join(best, "query_id").withColumn("win", F.col("response_id") == F.col("best"))
     return x.groupBy("model_name").agg(F.count(F.lit(1)).alias("responses"), F.round(F.avg("f1"), 4).alias("average_f1"), F.count_if(F.col("f1") >= 0.30).alias("likely_correct"), F.count_if("win").alias("wins"))
 
 

@@ -8,6 +8,7 @@ from loam.functions import normal
 from loam.functions import text as T
 from loam.operators import blocks, dedup, gates, history, instruct, lines, packing, scoring, splits
 from loam.operators.components import connected_components
+from loam.operators.grouping import first_k, first_rows, ranked, with_group_values
 from loam.plans import prepare
 
 
@@ -221,3 +222,29 @@ def test_balance():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_ranks_within_groups(spark):
+    rng = random.Random(9)
+    data = [(rng.choice(["hot", "hot", "hot", "a", None, f"g{i % 40}"]), rng.randrange(500), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, o int, i int")
+    want, sizes = {}, {}
+    for g, o, i in sorted(data, key=lambda r: (r[0] or "", r[1], r[2])):
+        want[i] = sizes.get(g, 0)
+        sizes[g] = want[i] + 1
+    got = ranked(df, ["g"], ["o", "i"], ["i"], "r", "n").collect()
+    assert {x.i: x.r for x in got} == want and all(x.n == sizes[x.g] for x in got) and len(got) == 3000
+    assert ranked(df.limit(0), ["g"], ["o"], ["i"]).count() == 0
+
+
+def test_values_of_hot_groups(spark):
+    data = [("h", i) for i in range(2500)] + [(f"g{i // 2}", 5000 + i) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, k int")
+    got = with_group_values(df, "g", "k", least=F.min("k"), n=F.count(F.lit(1))).collect()
+    assert len(got) == 2800 and all((x.least, x.n) == ((0, 2500) if x.g == "h" else (5000 + 2 * int(x.g[1:]), 2)) for x in got)
+
+
+def test_first_rows_and_k(spark, rows):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9)], "g string, v int")
+    assert rows(first_rows(df, ["g"], [F.col("v")])) == [("a", 1), ("b", 9)]
+    assert rows(first_k(df, "g", ["v"], 2)) == [("a", 1, 1), ("a", 2, 2), ("b", 9, 1)]
