@@ -6,11 +6,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.operators.grouping import ranked, with_group_values
+from loam.operators.grouping import first_rows, ranked, with_group_values
 from loam.session import map_arrow, written
 
 PRIME = 4294967291
@@ -164,8 +164,7 @@ def two_key_dedup(pairs: DataFrame, order: list, left: Column, right: Column) ->
 
     A dropped row does not occupy its keys.  Rows with equal keys on both sides collapse first.
     """
-    n = F.row_number().over(Window.partitionBy("_l", "_r").orderBy(*order))
-    x = pairs.withColumn("_l", left).withColumn("_r", right).withColumn("_n", n).where("_n = 1").drop("_n")
+    x = first_rows(pairs.withColumn("_l", left).withColumn("_r", right), ["_l", "_r"], order_columns(order))
     x = written(x.withColumn("_o", F.struct(*order_columns(order))).withColumn("_id", F.sha2(F.concat_ws("\x01", "_l", "_r"), 256)))
     slim = x.select("_id", "_o", "_l", "_r")
     # round by round: rows that are first under both keys are kept, and beat all others of their keys

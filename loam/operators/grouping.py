@@ -63,8 +63,8 @@ def ranked(df: DataFrame, by: list[str], order: list[str], keep: list[str], out:
 def first_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group: an aggregate with partial minima instead of a window."""
     rest = [c for c in df.columns if c not in by]
-    x = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_r"))
-    return x.select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    x = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_first_row"))
+    return x.select(*by, *[F.col(f"_first_row.{c}").alias(c) for c in rest])
 
 
 def first_k(df: DataFrame, by: str, order: list, k: int, out: str = "rank", salts: int = 64) -> DataFrame:

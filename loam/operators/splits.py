@@ -8,22 +8,17 @@ from pyspark.sql import functions as F
 from loam.functions import text as T
 from loam.operators.grouping import first_k, ranked
 
-#: Buckets of the hash order; ranks within a bucket are windows, so no task sorts the whole table.
-BUCKETS = 256
-
 
 def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
-    """``df`` with the 1-based place of each row in the order of SHA-256('seed:key').
+    """``df`` with the 1-based place of each row in the order of SHA-256('seed:key'); keys are unique.
 
-    Two phases: rows by the hash's first byte, then places within, shifted by
-    the sizes of the buckets before (256 rows).
+    Only keys and hashes are ranked, over range partitions.
     """
-    x = df.withColumn("_h", T.seeded_rank(seed, key)).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most 256 rows
-    shift = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_b", "_s")
-    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return x.withColumn("_r", within).join(F.broadcast(shift), "_b").withColumn(out, (F.col("_r") + F.col("_s")).cast("bigint")).drop("_h", "_b", "_r", "_s")
+    keyed = df.select(key).withColumn("_all", F.lit(1)).withColumn("_h", T.seeded_rank(seed, key))
+    places = ranked(keyed, ["_all"], ["_h", key], [], "_place").select(F.col(key).alias("_k"), (F.col("_place") + 1).alias(out))
+    if df.columns == [key]:
+        return places.withColumnRenamed("_k", key)
+    return df.join(places, F.col(key) == F.col("_k")).drop("_k")
 
 
 def held_out_size(n: Column, percent: Column | int) -> Column:
