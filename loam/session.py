@@ -93,10 +93,24 @@ def forget() -> None:
 atexit.register(forget)
 
 
+#: Bytes of a table from which a scan in too few tasks is spread over the cores.
+SPREAD = 2 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if its files (a single row group, say) give less than half of that.
+
+    Tables of many files or row groups, as any large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= SPREAD and 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
