@@ -120,24 +120,48 @@ def signatures(docs: DataFrame, key: str, text: str, permutations: int = 128, n:
     return map_arrow(rows, run, f"`{key}` {kind}, signature array<bigint>")
 
 
-def candidate_pairs(signed: DataFrame, key: str, bands: int = 8) -> DataFrame:
-    """(a, b), a < b: equal in at least one band of the signature."""
-    size = F.size("signature") / bands
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.md5(F.array_join(F.slice("signature", (i * size + 1).cast("int"), size.cast("int")), ",")).alias("h"))))
+def candidate_pairs(signed: DataFrame, key: str, bands: Column) -> DataFrame:
+    """(a, b), a < b: equal in at least one of ``bands`` parts, as equal as can be, that the signature is cut into."""
+    start = lambda i: F.floor(i * F.size("signature") / bands).cast("int")
+    band = F.explode(F.transform(F.sequence(F.lit(0), bands - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", start(i) + 1, start(i + 1) - start(i))).alias("h"))))
     x = signed.select(F.col(key).alias("a"), band.alias("band"))
     y = x.select(F.col("a").alias("b"), "band")
     return x.join(y, "band").where("a < b").select("a", "b").distinct()
 
 
-def similar_pairs(signed: DataFrame, key: str, threshold: float = 0.85, bands: int = 8) -> DataFrame:
-    """(a, b, similarity): candidates whose signatures agree in at least that share of places."""
+def similar_pairs(signed: DataFrame, key: str, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity): all pairs whose signatures agree in at least that share of places.
+
+    Two such signatures differ in at most k places, so of k + 1 bands one at least is equal: no pair is lost.
+    """
     signed = written(signed)  # read three times
     one = signed.select(F.col(key).alias("a"), F.col("signature").alias("sa"))
     two = signed.select(F.col(key).alias("b"), F.col("signature").alias("sb"))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda v: v)) / F.size("sa")
+    bands = F.least(F.size("signature"), F.size("signature") - F.ceil(F.size("signature") * threshold - 1e-9) + 1).cast("int")
     return candidate_pairs(signed, key, bands).join(one, "a").join(two, "b").select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = 0.85, n: int = 3) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of texts whose sets of runs have at least that Jaccard similarity.
+
+    Sets that similar have a run in common among the first size - ceil(threshold size) + 1 of either, whatever
+    order all sets are brought into; with rare runs first, the lists of an index over these are short.
+    """
+    sets = written(docs.select(key, F.array_distinct(F.transform(shingles(F.col(text), n), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0))
+    each = with_group_values(sets.select(key, F.size("s").alias("size"), F.explode("s").alias("h")), "h", key, texts=F.count(F.lit(1)))
+    order = each.groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("runs"))
+    first = order.select(key, "size", F.explode(F.slice("runs", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))).alias("r"))
+    index = written(first.where("r.texts > 1").select(key, "size", F.col("r.h").alias("h")))  # what one text has alone joins nothing
+    x = index.select(F.col(key).alias("a"), F.col("size").alias("na"), "h")
+    y = index.select(F.col(key).alias("b"), F.col("size").alias("nb"), "h")
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    pairs = x.join(y, "h").where(close).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
+    common = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("k"))
+    return common.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def greedy_keep(nodes: DataFrame, key: str, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(key, kept): going through the keys in order, one is kept if no smaller kept key is its neighbour.
 

@@ -81,10 +81,14 @@ agree as (select a, b, count(*) filter (x.m = y.m) / 128.0 as similarity from ca
 """
 
 
-def _signed(spark, d):
+def _distinct(spark, d):
     docs = read(spark, d, "rfc4136").where("extracted_text is not null").select(F.col("record_id").alias("doc_id"), F.col("extracted_text").alias("text"))
     first = docs.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))  # exact copies go first
-    return D.signatures(docs.join(first.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    return docs.join(first.select("doc_id"), "doc_id", "left_semi")
+
+
+def _signed(spark, d):
+    return D.signatures(_distinct(spark, d), "doc_id", "text")
 
 
 @query("with " + _SIGN + "select doc_id, md5(array_to_string(signature, ',')) as signature_md5, signature[1] as first_minimum from sig")
@@ -99,6 +103,19 @@ def near_dup_pairs(spark, d):
     return D.similar_pairs(_signed(spark, d), "doc_id").withColumn("similarity", F.round("similarity", 9))
 
 
+@query(
+    "with "
+    + _SIGN
+    + """, n as (select doc_id, count(*) as n from s group by doc_id),
+k as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by all),
+j as (select a, b, k / (x.n + y.n - k) as similarity from k join n x on x.doc_id = a join n y on y.doc_id = b)
+select a, b, round(similarity, 9) as similarity from j where similarity >= 0.85"""
+)
+def near_dup_pairs_exact_jaccard(spark, d):
+    """Pairs of distinct texts whose sets of word runs have a Jaccard similarity of 0.85 or more, without signatures."""
+    return D.jaccard_pairs(_distinct(spark, d), "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
+
+
 _ROUNDS = """, e as (select a, b from agree where similarity >= 0.85), n0 as (select doc_id as k from sig),
 k1 as (select k from n0 where k not in (select b from e)),
 d1 as (select distinct b as k from e where a in (select k from k1)),

@@ -248,3 +248,29 @@ def test_first_rows_and_k(spark, rows):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9)], "g string, v int")
     assert rows(first_rows(df, ["g"], [F.col("v")])) == [("a", 1), ("b", 9)]
     assert rows(first_k(df, "g", ["v"], 2)) == [("a", 1, 1), ("a", 2, 2), ("b", 9, 1)]
+
+
+def test_no_similar_pair_is_lost(spark):
+    base = list(range(128))
+    changed = lambda places, by: [v + by if i in places else v for i, v in enumerate(base)]
+    spread = lambda n: {i * 128 // n for i in range(n)}
+    rows = [(0, base)] + [(n, changed(spread(n), 1000 * n)) for n in (7, 8, 12, 19, 20)]
+    signed = spark.createDataFrame(rows, "k bigint, signature array<bigint>")
+    got = {(r.a, r.b): r.similarity for r in dedup.similar_pairs(signed, "k").collect()}
+    want = {(a, b): sum(v == w for v, w in zip(x, y)) / 128 for a, x in rows for b, y in rows if a < b}
+    assert got == {p: v for p, v in want.items() if v >= 0.85} and {(0, 8), (0, 12), (0, 19)} <= set(got) and (0, 20) not in got
+    assert {(r.a, r.b) for r in dedup.similar_pairs(signed, "k", 1.0).collect()} == set()
+
+
+def test_jaccard_pairs(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 120))]
+        texts += [" ".join(w), " ".join(w[: rng.randrange(len(w)) + 1]), " ".join(w + w[:5]), " ".join("new" if rng.random() < 0.03 else v for v in w)]
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else set(w)
+    sets = [runs(t.split()) for t in texts]
+    want = {(i, j): len(x & y) / len(x | y) for j, y in enumerate(sets) for i, x in enumerate(sets[:j])}
+    want = {p: v for p, v in want.items() if v >= 0.85}
+    got = {(r.a, r.b): r.similarity for r in dedup.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "k bigint, text string"), "k", "text").collect()}
+    assert got == want and len(want) > 10
