@@ -66,7 +66,8 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     The first has (doc_key, item_key, v, diff, at): words [at, at + run) of the item
     stand in the document, from word at + diff on; one row for each such run of words and place.
     The second has (doc_key, item_key, n_terms, spread): the document holds at
-    least two of the item's rarest terms in places that agree within ``slack`` words.
+    least two of the item's rarest terms in places that agree within ``slack`` words;
+    the cluster of most terms is given, of these the closest, wherever else the terms occur.
 
     Words are lower-cased runs of letters and digits after NFKC, without
     invisible characters; a word broken at a line end counts joined and as two.  Items
@@ -105,13 +106,21 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
         .where(F.col("n") == need)
         .select(doc_key, *item, "diff", "at")
     )
+    # both readings of a text count as one; offsets are signed, and each place with the last one of the same term
+    half = SECOND >> 1
+    d = F.pmod(F.col("diff") + half, F.lit(SECOND)) - half
+    pair = [doc_key, *item]
+    places = hits.select(*pair, "j", d.alias("d")).repartition(*pair).withColumn("last", F.lag("d").over(Window.partitionBy(*pair, "j").orderBy("d")))
+    within = Window.partitionBy(*pair).orderBy("d").rangeBetween(0, slack)
+    several = F.min("j").over(within) < F.max("j").over(within)
+    cluster = F.filter(F.collect_list(F.struct("d", "last")).over(within), lambda x: x["last"].isNull() | (x["last"] < F.col("d")))  # once a term
+    best = F.max(F.struct(F.size("terms").alias("n"), (F.col("d") - F.array_max("terms.d")).alias("s")))
     near = (
-        hits.select(*item, doc_key, "j", F.pmod("diff", F.lit(SECOND)).alias("d"))
-        .groupBy(doc_key, *item)
-        .agg(F.countDistinct("j").alias("n_terms"), (F.max("d") - F.min("d")).alias("spread"))
-        .where((F.col("n_terms") >= 2) & (F.col("spread") <= slack))
+        places.select(*pair, "d", several.alias("several"), cluster.alias("terms"))
+        .where("several")
         .groupBy(doc_key, item_key)
-        .agg(F.max("n_terms").alias("n_terms"), F.min("spread").alias("spread"))
+        .agg(best.alias("best"))
+        .select(doc_key, item_key, F.col("best.n").cast("bigint").alias("n_terms"), (-F.col("best.s")).alias("spread"))
     )
     return exact, near
 

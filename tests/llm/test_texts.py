@@ -79,6 +79,37 @@ def test_leaks(spark, rng):
         assert leaks.find_leaks(x, "doc_id", "text", y, "item_id", "item")[0].count() == 0
 
 
+def test_near_matches_take_the_best_cluster(spark):
+    w = [f"w{i}" for i in range(30)]
+    item, other = " ".join(w), " ".join(f"x{i}" for i in range(40))
+    part = lambda a, b: " ".join(w[a:b])
+    docs = [
+        (1, item), (2, f"{item} {other} {item}"), (3, f"{part(0, 10)} {other} {part(0, 4)} {other} {part(0, 4)}"), (4, f"{part(3, 8)} y y y {part(8, 30)}"),
+        (5, f"{part(0, 4)} {other} {part(20, 24)}"), (6, f"{part(10, 14)} a {part(15, 19)} {other}"), (7, f"{part(12, 16)} {part(5, 9)}"), (8, f"z {part(0, 4)} {part(5, 15)}"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([("a", item)], "item_id string, item string")
+    # by hand: the offsets of the rarest runs of the item in each document
+    near = {r.doc_id: (r.n_terms, r.spread) for r in leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item")[1].collect()}
+    df = {j: sum(t.split()[p : p + 4] == w[j : j + 4] for _, t in docs for p in range(len(t.split()))) for j in range(27)}
+    anchors = {min(range(a, min(a + 7, 27)), key=lambda j: (df[j], j)) for a in range(27)}
+    want = {}
+    for key, t in docs:
+        places = [(p - j, j) for j in anchors for p in range(len(t.split())) if t.split()[p : p + 4] == w[j : j + 4]]
+        spans = [(len({j for v, j in places if a <= v <= b}), a - b) for a, _ in places for b, _ in places if 0 <= b - a <= 8]
+        n, s = max(spans, default=(0, 0))
+        if n >= 2:
+            want[key] = (n, -s)
+    assert near == want and near[2] == near[1] and {1, 2, 3, 4} <= set(near)
+
+
+def test_near_matches_at_the_start_of_a_document(spark):
+    w = [f"w{i}" for i in range(16)]
+    d = spark.createDataFrame([(1, " ".join(["a", *w[:4], *w[6:10]]))], "doc_id bigint, text string")  # offsets 1 and -1
+    i = spark.createDataFrame([("a", " ".join(w))], "item_id string, item string")
+    assert [tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item")[1].collect()] == [(1, "a", 2, 2)]
+
+
 def repeats(text):
     w = re.findall(r"[^\W\d_]+", (text or "").lower())
     seen, mark = set(), [False] * len(w)
