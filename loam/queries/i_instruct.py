@@ -146,9 +146,11 @@ _SFT = f"""e as (select pair_id, {_WORDS('instruction')} as p, list_append({_WOR
 m as (select i, pair_id, list_concat(p, r)[1:48] as input_ids, list_concat(list_transform(p, lambda x: -100), r)[1:48] as labels from e)"""
 
 
-def _examples(spark, d):
+def _examples(spark, d, most=48, refuse=False):
     x = read(spark, d, "evaluation").select("pair_id", "instruction", "response").distinct()
-    m = I.masked(P.word_ids(F.col("instruction")), F.concat(P.word_ids(F.col("response")), F.array(F.lit(P.EOS))), 48)
+    if refuse:
+        x = x.where(F.size(P.word_ids(F.col("instruction"))) < most)
+    m = I.masked(P.word_ids(F.col("instruction")), F.concat(P.word_ids(F.col("response")), F.array(F.lit(P.EOS))), most)
     return x.select("pair_id", "response", m.alias("m")).select("pair_id", "response", "m.*")
 
 
@@ -167,6 +169,35 @@ def padded_batches(spark, d):
     return y.select("i", "batch", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.md5(F.array_join("labels", ",")).alias("labels_md5"))
 
 
+#: Fixed value: the length of examples in training; a prompt that fills it is refused.
+FULL = 1024
+_SFT_FULL = f"""q as (select pair_id, {_WORDS('instruction')} as p, list_append({_WORDS('response')}, {P.EOS}) as r, response from (select distinct pair_id, instruction, response from evaluation)),
+e as (select *, row_number() over (order by pair_id, response) - 1 as i from q where len(p) < {FULL}),
+m as (select i, pair_id, list_concat(p, r)[1:{FULL}] as input_ids, list_concat(list_transform(p, lambda x: -100), r)[1:{FULL}] as labels from e)"""
+
+
+@query(f"with {_SFT_FULL} select pair_id, md5(array_to_string(input_ids, ',')) as ids_md5, md5(array_to_string(labels, ',')) as labels_md5, len(input_ids)::int as n from m")
+def sft_masks_full(spark, d):
+    """Labels masked on the prompt, at the full length; prompts without room are in sft_refused."""
+    return _examples(spark, d, FULL, True).select("pair_id", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.md5(F.array_join("labels", ",")).alias("labels_md5"), F.size("input_ids").alias("n"))
+
+
+@query(f"with {_SFT_FULL}, b as (select *, floor(i / 8)::bigint as batch from m), w as (select *, max(len(input_ids)) over (partition by batch) as n from b) select i::bigint as i, batch, md5(array_to_string(list_concat(input_ids, list_transform(range(n - len(input_ids)), lambda x: 0)), ',')) as ids_md5, md5(array_to_string(list_concat(labels, list_transform(range(n - len(labels)), lambda x: -100)), ',')) as labels_md5 from w")
+def padded_batches_full(spark, d):
+    """Batches of eight padded to their longest, at the full length."""
+    x = _examples(spark, d, FULL, True).withColumn("one", F.lit(1)).withColumn("k", F.struct("pair_id", "response"))
+    n = P.prefix_sum(x, "k", "one").select("k", F.col("start").alias("i"))
+    y = I.padded(x.join(n, "k"), "i", 8, 0)
+    return y.select("i", "batch", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.md5(F.array_join("labels", ",")).alias("labels_md5"))
+
+
+@query(f"with {_SFT_FULL} select pair_id, md5(response) as response_md5, len(p)::int as prompt_ids from q where len(p) >= {FULL}")
+def sft_refused(spark, d):
+    """Pairs whose prompt leaves no room for a response at the full length."""
+    x = read(spark, d, "evaluation").select("pair_id", "instruction", "response").distinct().withColumn("prompt_ids", F.size(P.word_ids(F.col("instruction"))))
+    return x.where(F.col("prompt_ids") >= FULL).select("pair_id", F.md5("response").alias("response_md5"), "prompt_ids")
+
+
 @query(f"select count(*)::bigint as pairs, count(*) filter (regexp_replace(coalesce(instruction, ''), '[{WS}]+', '', 'g') = '')::bigint as blank_instructions, count(*) filter (regexp_replace(coalesce(response, ''), '[{WS}]+', '', 'g') = '')::bigint as blank_responses, (count(*) - count(distinct pair_id))::bigint as repeated_ids from evaluation")
 def pair_validation(spark, d):
     """Blank fields and repeated identifiers of the pair file."""

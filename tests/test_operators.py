@@ -197,6 +197,17 @@ def test_masks_and_padding(spark):
     assert (first.input_ids, first.attention_mask, first.labels) == ([1, 2, 9, 9], [1, 1, 0, 0], [1, 2, -100, -100])
 
 
+def test_full_examples_keep_the_response(spark, tmp_path):
+    from loam.queries import QUERIES
+
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    pairs = [("a", words(60), words(5)), ("b", words(1023), words(5)), ("c", words(1024), words(5)), ("d", words(3), words(100))]
+    spark.createDataFrame(pairs, "pair_id string, instruction string, response string").write.parquet(str(tmp_path / "evaluation.parquet"))
+    assert {r.pair_id: r.n for r in QUERIES["sft_masks_full"](spark, str(tmp_path)).collect()} == {"a": 66, "b": 1024, "d": 104}
+    assert [(r.pair_id, r.prompt_ids) for r in QUERIES["sft_refused"](spark, str(tmp_path)).collect()] == [("c", 1024)]
+    assert sorted(r.i for r in QUERIES["padded_batches_full"](spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
 def test_line_questions():
     body = "The interface must be set before use. " * 5
     assert instruct.line_pairs(f"Configuring the border\n{body}\n\nmore")[0][0] == "How do I configure the border on a Cisco device?"
