@@ -1,11 +1,17 @@
 """Broken prompt and response pairs: a multi-label linear classifier.
 
 The classifier never sees a labelled pair.  A bounded sample of pairs that look sound is
-damaged on purpose: responses are cut off, replaced by the instruction, by a response in
-another language, or by a refusal; the sound originals, without their full
-stop, with a foreign quotation, or with the instruction restated, are the other side.
+damaged on purpose: responses are cut off, replaced by the instruction, swapped for a response in
+another language, or for a refusal; the sound originals, without their full
+stop, with a foreign quotation, with the instruction restated, swapped within their language, or
+replaced by a short answer (a word, a number, a name, a list), are the other side.
 Features are hashed n-grams and features of the pair, a family for each label; each label
-has a logistic model and a threshold set on held-out damage.
+has a logistic model.  Its cut is set on scores from cross-validation, in which sound rows weigh as
+much as they would where a defect has a share of ``BASE``, and lies above the score of a pair
+without evidence.
+
+Languages are told apart by character n-grams of lower-case words.  Their profiles start
+from a list of frequent words and are learned from the sample's own texts.
 """
 
 from __future__ import annotations
@@ -26,16 +32,22 @@ from loam.llm.words import INVISIBLE
 from loam.session import map_arrow
 
 #: Largest sample of pairs that the models are fitted on, buckets of hashed features, labels of the models.
-SAMPLE, BUCKETS, LABELS = 3000, 1 << 17, ("truncated", "refusal", "copy", "language")
-
-#: Frequent words that tell the four languages apart.
+SAMPLE, BUCKETS, LABELS = 2000, 1 << 17, ("truncated", "refusal", "copy", "language")
+#: Share of pairs with a given defect that the cuts are set for, folds of the cross-validation, least distance of a cut from a pair without evidence.
+BASE, FOLDS, MARGIN = 0.03, 4, 0.25
+#: Score (log-odds, by models of other folds) from which a pair of the sample is not taken for sound.
+DOUBT = 2.0
+#: Buckets of hashed character n-grams, evidence (in nats) from which a language is named.
+GRAMS, NAMED = 1 << 14, 1.5
+
+#: Frequent words that the profiles of the languages start from.
 MARKERS = {
     "en": "the of and to in is that any each another one when after before which what how why its it this with for while may must can if under has have from a an",
     "de": "der die das und ist nicht ein eine einen dem den des zu für mit auf wenn wie was warum wann wird zuerst nach sobald obwohl weil doch erst ab im bei über unter von",
     "fr": "le la les des du un une et est dans pour que qui avec sur lorsque quand comment pourquoi puis car mais dès bien après au aux ce cette il ne pas d l en quel quelle",
     "es": "el la los las del un una y es en para que con por cuando cómo qué porque pero aunque según después tras al se no su más lo cuándo primero",
 }
-_MARKS = {k: frozenset(v.split()) for k, v in MARKERS.items()}
+LANGUAGES = tuple(MARKERS)
 #: How an instruction asks for a language.
 ASKED = {
     "en": r"\b(?:in(?:to)? english|auf englisch|ins englische|en anglais|en inglés|al inglés)\b",
@@ -47,9 +59,15 @@ _ASKED = {k: re.compile(v) for k, v in ASKED.items()}
 #: What stands for nothing.
 NOTHING = frozenset("null none nil na nan n/a empty undefined tbd todo".split())
 
+#: Words with which a response speaks of itself.
+FIRST_PERSON = frozenset("i i'm i'd ich je désolé siento puedo debo sorry".split())
+
 _TOKEN = re.compile(r"```|\w+(?:[-'’]\w+)*|[^\w\s]")
 _NAME = re.compile(r"0x[0-9a-f]+|[A-Z]{2,}\w*(?:-\d+)?|[A-Z][a-z]+-\d+|\d+(?:[.,:]\d+)*|[a-z]+-\d+")
 _WORD = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
+_ITEM = re.compile(r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*$")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 
 
@@ -64,18 +82,69 @@ def says_nothing(response: str | None) -> bool:
     return not _WORD.search(x) or x.strip(" .\"'()[]{}<>").lower() in NOTHING
 
 
-def language(text: str) -> str:
-    """The language whose frequent words occur most often, or '' if none does or two tie."""
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    hits = sorted(((sum(w in m for w in words), k) for k, m in _MARKS.items()), reverse=True)
-    return hits[0][1] if hits[0][0] > hits[1][0] else ""
-
-
-def expected_language(instruction: str) -> str:
-    """The language that an instruction asks for, or else its own."""
-    x = instruction.lower()
-    asked = [k for k, r in _ASKED.items() if r.search(x)]
-    return asked[0] if len(asked) == 1 else ("" if asked else language(x))
+def _grams(word: str) -> list[int]:
+    """The places of a word's n-grams and, last, of the whole word."""
+    x = f"^{word}$"
+    return [crc32(x[i : i + n].encode()) & (GRAMS - 1) for n in (2, 3, 4) for i in range(len(x) - n + 1)] + [crc32(f"={word}".encode()) & (GRAMS - 1)]
+
+
+def plain_words(text: str) -> list[str]:
+    """Words in lower case, outside of blocks of code: what tells languages apart (names do not)."""
+    return [w for w in _LETTERS.findall(_CODE.sub(" ", text)) if w.islower()]
+
+
+class Profiles:
+    """Character n-grams of the four languages: log-probabilities by language and bucket."""
+
+    def __init__(self, texts: list[str], rounds: int = 2):
+        """From the MARKERS first, then from the texts that these profiles can name."""
+        seeds = [Counter({w: 3 for w in v.split()}) for v in MARKERS.values()]
+        self.learn(seeds)
+        split = [plain_words(x) for x in texts]
+        for _ in range(rounds):
+            words = [Counter(c) for c in seeds]
+            for own in split:
+                at = self.name(own)
+                if at:
+                    words[LANGUAGES.index(at)].update(own)
+            self.learn(words)
+
+    def learn(self, words: list[Counter]) -> None:
+        """Profiles of counted words; a word counts by the root of its frequency, so that no frequent word is the language."""
+        self.seen: dict[str, np.ndarray] = {}
+        n = np.full((len(LANGUAGES), GRAMS), 0.2)
+        for row, counter in zip(n, words):
+            for w, times in counter.items():
+                np.add.at(row, _grams(w), times**0.5)
+        self.logs = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+
+    def evidence(self, word: str) -> np.ndarray:
+        """What a word says for each language; an n-gram shares its letters with two others."""
+        if (found := self.seen.get(word)) is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            v = self.logs[:, _grams(word)]
+            v = v[:, :-1].sum(1) / 3 + v[:, -1]
+            found = self.seen[word] = np.clip(v - v.mean(), -3, 3)
+        return found
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return np.sum([self.evidence(w) for w in words], 0) if words else np.zeros(len(LANGUAGES))
+
+    def name(self, words: list[str]) -> str:
+        """The language of lower-case words, or '' without enough evidence."""
+        v = self.total(words)
+        a, b = np.argsort(-v)[:2]
+        return LANGUAGES[a] if v[a] - v[b] >= NAMED else ""
+
+    def language(self, text: str) -> str:
+        """The language of a text, or ''."""
+        return self.name(plain_words(text))
+
+    def expected(self, instruction: str) -> set[str]:
+        """The instruction's own language and those that it asks for."""
+        low = instruction.lower()
+        return {k for k, r in _ASKED.items() if r.search(low)} | ({k} if (k := self.language(instruction)) else set())
 
 
 def _shape(token: str, first: bool, known: frozenset) -> str:
@@ -95,7 +164,7 @@ def _tokens(text: str, known: frozenset) -> list[str]:
     return out
 
 
-def features(instruction: str | None, response: str | None, known: frozenset) -> dict[str, dict[str, float]]:
+def features(instruction: str | None, response: str | None, known: frozenset, profiles: Profiles) -> dict[str, dict[str, float]]:
     """The named features of a pair, by label."""
     ask, say = clean(instruction), clean(response)
     toks = _tokens(say, known)
@@ -104,10 +173,11 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
     body = say.rstrip("\"'*_”»").rstrip()
     last = body[-1:]
     fences = say.count("```")
-    stop = last in ".!?…"
+    item = bool(_ITEM.search(say))
+    stop = last in ".!?…" and not item  # the mark of an item without words ends no sentence
     tail = [t for t in toks if t not in "\"'*_”»"] or [""]
     end["stop" if stop else ("fence" if last == "`" else ("mark" + last if last and not last.isalnum() else "word"))] = 2.0
-    if re.search(r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*$", say):
+    if item:
         end["empty item"] = 4.0
     if fences % 2:
         end["open fence"] = 3.0
@@ -129,6 +199,11 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
             end["unknown end"] = 2.0
         if len(sentence) == 1:
             end["only word" if len(tail) == 1 else "one word"] = 2.0
+        if not FIRST_PERSON.isdisjoint(t.lower() for t in toks):
+            end["first person"] = 1.0
+        asked = _WORD.findall(ask.lower())
+        if asked and asked[-1:] == _WORD.findall(body[-60:].lower())[-1:]:
+            end["ends as asked"] = 2.0
     # refusal: n-grams of the whole response
     ref = {"bias": 1.0}
     scale = 1.0 / max(4.0, len(toks)) ** 0.5
@@ -149,23 +224,24 @@ def features(instruction: str | None, response: str | None, known: frozenset) ->
         cop |= {"inside": inside * 2, "pairs": pairs * 2, "back": back * 2, "inside pairs back": 4 * inside * pairs * back}
         cop["extra" + str(min(extra, 8))] = 1.0
         cop["extra"] = min(extra, 24) / 8
+        cop["ends in other words"] = 3.0 * (b[-1] not in ca)
         cop["len" + str(min(8, round(4 * len(b) / len(a))))] = 0.5
     else:
         cop["no words"] = 1.0
-    # language: words of the response, told apart by the language that is expected
-    lan = {"bias": 1.0}
-    want = expected_language(ask) if a else ""
-    got = language(say)
-    if want:
-        lan["want " + want] = 0.2
-        lan["differs" if got and got != want else ("same" if got else "unclear")] = 2.0
-        words = re.findall(r"[^\W\d_]+", say.lower()) if got else []
-        scale = 2.0 / max(6.0, len(words)) ** 0.5
-        for w in words:
-            if w in known or any(w in m for m in _MARKS.values()):
-                lan[f"{want}|{w}"] = lan.get(f"{want}|{w}", 0.0) + scale
-    else:
-        lan["no language"] = 3.0
+    # language: what the response's words say against the languages that are expected; nothing without words or expectation
+    lan: dict[str, float] = {}
+    want = profiles.expected(ask) if a else set()
+    own = plain_words(say)
+    if want and len(own) > 1:  # one word is too little to tell
+        v = profiles.total(own)
+        inside = [k in want for k in LANGUAGES]
+        gap = max((x for x, k in zip(v, inside) if not k), default=-50.0) - max(x for x, k in zip(v, inside) if k)
+        lan = {"bias": 1.0, "gap": 2 * float(np.clip(gap / len(own) ** 0.5, -4, 4)), "sign": 2 * float(np.clip(gap, -NAMED, NAMED))}
+        scale = 0.5 / max(6.0, len(own)) ** 0.5
+        key = "+".join(sorted(want))
+        for w in own:
+            if w in known:
+                lan[f"{key}|{w}"] = lan.get(f"{key}|{w}", 0.0) + scale
     return dict(zip(LABELS, (end, ref, cop, lan)))
 
 
@@ -260,142 +336,212 @@ def copied(text: str, rng: random.Random) -> str:
     return rng.choice(ways)()
 
 
-def looks_sound(ask: str, say: str) -> bool:
+def is_restated(ask: str, say: str) -> bool:
+    """Whether most words of a response stand in the instruction."""
+    a, b = set(_WORD.findall(ask.lower())), _WORD.findall(say.lower())
+    return bool(a) and len(b) >= 3 and sum(w in a for w in b) > 0.7 * len(b)
+
+
+def looks_sound(ask: str, say: str, profiles: Profiles) -> bool:
     """Rules for the sample: a pair without a sign of any defect."""
-    if says_nothing(say) or say.count("```") % 2 or say.count("(") > say.count(")"):
+    if says_nothing(say) or say.count("```") % 2 or say.count("(") > say.count(")") or _ITEM.search(say):
         return False
     if not re.search(r"[.!?][\"'”»]?$|```$", say) and not (say.startswith("- ") or len(say) < 40):
         return False
-    a, b = _WORD.findall(ask.lower()), _WORD.findall(say.lower())
-    if a and sum(w in set(a) for w in b) > 0.7 * len(b) and len(b) >= 3:
+    if is_restated(ask, say) or not FIRST_PERSON.isdisjoint(_WORD.findall(say.lower())):
         return False
-    own = {"i", "ich", "je", "désolé", "siento", "puedo", "debo", "sorry"}
-    if own & set(b):
-        return False
-    want, got = expected_language(ask), language(say)
-    return not (want and got and want != got)
+    want, got = profiles.expected(ask), profiles.language(say)
+    return not (want and got and got not in want)
+
 
+#: Short answers, by language.
+SHORT = {"en": "Yes.|No.|Yes|No|Never.|Always.|No, only after {#}.|Yes, within {#}.|By default, no.|None.", "de": "Ja.|Nein.|Nie.|Ja, nach {#}.", "fr": "Oui.|Non.|Jamais.|Oui, après {#}.", "es": "Sí.|No.|Nunca.|Sí, tras {#}."}
 
-def training_rows(sample: list[tuple[str, str]], rng: random.Random) -> list[tuple[int, str, str, set[str]]]:
-    """(group, instruction, response, labels) of sound and of damaged pairs."""
+
+def short_answer(lang: str, ask: str, say: str, name: str, rng: random.Random) -> str:
+    """A sound answer of few words: a word, a number with or without its unit, a name, or a list."""
+    amounts = re.findall(r"\b\d+ [^\W\d_]{3,}", say) or [f"{rng.randint(1, 60000)} {rng.choice(['bytes', 'ms', 'MB'])}"]
+    amount = rng.choice(amounts)
+    kind = rng.random()
+    if kind < 0.3:
+        return rng.choice(SHORT.get(lang, SHORT["en"]).split("|")).replace("{#}", amount)
+    if kind < 0.45:
+        return amount + rng.choice(["", "."])
+    if kind < 0.55:
+        return rng.choice([f"0x{rng.randrange(256):02x}", f"0x{rng.randrange(65536):04x}", f"{rng.choice(['UDP', 'TCP'])} port {rng.randint(1, 65535)}", str(rng.randint(1, 9999))])
+    if kind < 0.8:
+        return name + rng.choice(["", "", "."])
+    plain = [w for w in _LETTERS.findall(f"{ask} {say}") if w.islower() and len(w) > 3] or ["value"]
+    mark = rng.choice(["- ", "- ", "* ", "• "])
+    return "\n".join(mark + " ".join(rng.choice(plain) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 4)))
+
+
+def training_rows(sample: list[tuple[str, str]], profiles: Profiles, rng: random.Random) -> list[tuple[int, str, str, set[str]]]:
+    """(group, instruction, response, labels) of sound and of damaged pairs.
+
+    The first row of a group is a sound pair as it stands.  'language?' or 'copy?' puts a row on neither
+    side for that label: damage left no evidence of the language, or little but the instruction.
+    """
     pairs = [(clean(i), clean(r)) for i, r in sample]
-    sound = [(i, r) for i, r in pairs if looks_sound(i, r)]
+    sound = [(i, r) for i, r in pairs if looks_sound(i, r, profiles)]
     by_lang: dict[str, list[str]] = {}
     names = sorted({w for i, _ in sound for w in re.findall(r"\b[A-Z][a-z]{3,}(?:-\d+)?\b|\b[A-Z]{3,}\b|\b0x[0-9a-f]+\b", i[1:])}) or ["Node"]
     for _, r in sound:
-        if (k := language(r)) and len(r) > 40:
+        if (k := profiles.language(r)) and len(r) > 40:
             by_lang.setdefault(k, []).append(r)
     rows = []
     for g, (i, r) in enumerate(sound):
-        want = expected_language(i)
+        want = sorted(profiles.expected(i))
+        own = profiles.language(i) or "en"
         name = rng.choice(names)
         long = len(r.split()) >= 8
         rows.append((g, i, r, set()))
         if long and "```" not in r:
             rows.append((g, i, r.rstrip(".!"), set()))
-            rows.append((g, i, re.split(r"(?<=[.!?])\s+", r)[0].rstrip(".!"), set()))
+            if not is_restated(i, first := re.split(r"(?<=[.!?])\s+", r)[0].rstrip(".!")):
+                rows.append((g, i, first, set()))
         for _ in range(2):
             c = cut_off(r, name, rng)
             if c != r and len(c) > 3:
-                rows.append((g, i, c, {"truncated"}))
-        rows.append((g, i, refuse(want or "en", rng.choice([name, *re.findall(r"\b[A-Z]\w+", i[1:])[:1]]), rng), {"refusal"}))
+                rows.append((g, i, c, {"truncated", "copy?"} if is_restated(i, c) else {"truncated"}))
+        rows.append((g, i, refuse(own, rng.choice([name, *re.findall(r"\b[A-Z]\w+", i[1:])[:1]]), rng), {"refusal"}))
+        rows.append((g, i, refuse(rng.choice(LANGUAGES), name, rng), {"refusal", "language?"}))  # so that rare languages have some
+        rows.append((g, i, short_answer(own, i, r, name, rng), set()))
         if i:
             rows.append((g, i, copied(i, rng), {"copy"}))
             rows.append((g, i, f"{i} {r}", set()))
-        far = [k for k in by_lang if want and k != want]
+        if len(want) == 1 and len(by_lang.get(want[0], ())) > 1:  # an answer to another question is none of the defects
+            rows.append((g, i, rng.choice(by_lang[want[0]]), set()))
+        far = [k for k in by_lang if want and k not in want]
         if far:
             other = rng.choice(by_lang[rng.choice(far)])
             rows.append((g, i, other, {"language"}))
             if len(c := cut_off(other, name, rng)) > 12 and c != other:
-                rows.append((g, i, c, {"language", "truncated"}))
+                rows.append((g, i, c, {"truncated", "language" if profiles.language(c) not in ("", *want) else "language?"}))
             quoted = " ".join(other.split()[1:3]).strip(".,")
-            if want == "en" and long:
+            if want == ["en"] and long:
                 rows.append((g, i, f'{r} Some call it "{quoted}" there.', set()))
     return rows
 
 
-def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int = 12) -> dict:
-    """The models and thresholds, from a sample of pairs."""
+class _Rows:
+    """Hashed features of all rows for one label; places are numbered densely, so that steps are bincounts."""
+
+    def __init__(self, places: array, values: array, sizes: array):
+        self.start = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+        self.used, self.at = np.unique(np.array(places, np.int64), return_inverse=True)
+        self.value = np.array(values, np.float64)
+        self.row = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = self.start[rows + 1] - self.start[rows]
+        where = np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return self.at[where], self.value[where], np.repeat(np.arange(len(rows)), n)
+
+    def train(self, y: np.ndarray, rows: np.ndarray, seed: int, rounds: int) -> np.ndarray:
+        """Weights of a logistic model by adaptive steps over batches."""
+        w, seen = np.zeros(len(self.used)), np.full(len(self.used), 1e-8)
+        order, shuffle = rows.copy(), np.random.default_rng(seed)
+        for _ in range(rounds):
+            shuffle.shuffle(order)
+            for k in range(0, len(order), 256):
+                own = order[k : k + 256]
+                i, v, row = self.take(own)
+                p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[i] * v, len(own)), -30, 30)))
+                g = np.bincount(i, (p - y[own])[row] * v, len(w)) / len(own)
+                g += 1e-6 * w * (g != 0)
+                seen += g * g
+                w -= 0.3 * g / np.sqrt(seen)
+        return w
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at] * self.value, len(self.start) - 1)
+
+
+def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int = 8) -> dict:
+    """The models and cuts, from a sample of pairs; ``held_out`` has the F1 of each label over the folds."""
     rng = random.Random(seed)
-    rows = training_rows(sorted({(i or "", r or "") for i, r in sample}), rng)
+    sample = sorted({(i or "", r or "") for i, r in sample})
+    # together: most pairs have one language, and more words name it better
+    profiles = Profiles([f"{clean(i)}\n{clean(r)}" for i, r in sample if not any(a.search(i.lower()) for a in _ASKED.values())])
+    rows = training_rows(sample, profiles, rng)
     words = Counter(w for _, i, r, y in rows if not y for w in set(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", f"{i} {r}")))
     known = frozenset(w.lower() for w, n in words.items() if n >= 3 and w[1:].islower() or w in ("a", "I", "y"))
     known |= frozenset(w for text in REFUSALS.values() for part in text for x in part for w in _WORD.findall(x.lower()))
     # hashed at once: as dictionaries the features would be most of the driver's memory
-    places = {label: array("i") for label in LABELS}
-    values = {label: array("f") for label in LABELS}
-    sizes = {label: array("i") for label in LABELS}
+    made = {label: (array("i"), array("f"), array("i")) for label in LABELS}
     for _, i, r, _ in rows:
-        for label, named in features(i, r, known).items():
+        for label, named in features(i, r, known, profiles).items():
             at, v = _hashed(named)
-            places[label].extend(at)
-            values[label].extend(v)
-            sizes[label].append(len(at))
-    held = np.array([g % 4 == 3 for g, *_ in rows], bool)
-    model: dict = {"known": known, "weights": {}, "cut": {}, "held_out": {}}
+            places, values, sizes = made[label]
+            places.extend(at)
+            values.extend(v)
+            sizes.append(len(at))
+    group = np.array([g for g, *_ in rows], np.int64)
+    fold = group % FOLDS
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    nothing = features("", "0", known, profiles)
+    model: dict = {"known": known, "profiles": profiles, "weights": {}, "cut": {}, "held_out": {}}
+    judged, doubtful = {}, np.zeros(len(sample), bool)
     for label in LABELS:
-        y = np.array([label in labels for *_, labels in rows], float)
-        start = np.concatenate([[0], np.cumsum(np.array(sizes[label], np.int64))]).astype(np.int64)
-        idx, val = np.array(places[label], np.int64), np.array(values[label], np.float64)
-        w, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
-        order = np.flatnonzero(~held)
-        shuffle = np.random.default_rng(seed)
-        for _ in range(rounds if len(order) else 0):
-            shuffle.shuffle(order)
-            for at in range(0, len(order), 256):
-                own = order[at : at + 256]
-                n = start[own + 1] - start[own]
-                take = np.repeat(start[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                i, v, row = idx[take], val[take], np.repeat(np.arange(len(own)), n)
-                score = np.bincount(row, w[i] * v, len(own))
-                p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-                some, back = np.unique(i, return_inverse=True)
-                g = np.bincount(back, (p - y[own])[row] * v, len(some)) / len(own) + 1e-6 * w[some]
-                seen[some] += g * g
-                w[some] -= 0.3 * g / np.sqrt(seen[some])
-        score = np.array([float(w[idx[a:b]] @ val[a:b]) for a, b in zip(start[:-1], start[1:])])
-        test = np.flatnonzero(held) if held.any() else np.arange(len(rows))
+        y = np.array([np.nan if f"{label}?" in labels else label in labels for *_, labels in rows], float)
+        x, score, clear = _Rows(*made.pop(label)), np.zeros(len(rows)), ~np.isnan(y)
+        for f in range(FOLDS):
+            score[fold == f] = x.scores(x.train(y, np.flatnonzero((fold != f) & clear), seed, rounds))[fold == f]
+        judged[label] = x, y, score, clear
+        doubtful[group[first & (score > DOUBT)]] = True  # pairs that only looked sound
+    for label, (x, y, score, clear) in judged.items():
+        own = np.flatnonzero(clear & ~doubtful[group])
+        w = np.zeros(BUCKETS)
+        w[x.used] = x.train(y, own, seed, rounds)
         model["weights"][label] = w.astype(np.float32)
-        cut, quality = _threshold(score[test], y[test])
-        model["cut"][label], model["held_out"][label] = cut, quality
+        cut, quality = _threshold(score[own], y[own])
+        at, v = _hashed({k: n for k, n in nothing[label].items() if k in ("bias", "short", "no words")})
+        model["cut"][label], model["held_out"][label] = max(cut, float(w[at] @ np.array(v)) + MARGIN), quality
     return model
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The middle of the best cuts by F1, and that F1."""
-    if not len(y) or not y.any():
+def _threshold(score: np.ndarray, y: np.ndarray, base: float = BASE) -> tuple[float, float]:
+    """The middle of the best cuts by F1 where the defect's share is ``base``, and that F1."""
+    n, hits = len(y), y.sum()
+    if not hits or hits == n:
         return 0.0, 0.0
+    weight = (1 - base) / base * hits / (n - hits)  # of a row without the defect
     order = np.argsort(-score)
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    best = np.flatnonzero(f1 == f1.max())
+    f1 = 2 * hit / (hit + weight * (np.arange(1, n + 1) - hit) + hits)
     s = score[order]
-    low = s[best[-1] + 1] if best[-1] + 1 < len(s) else s[best[-1]] - 1
-    return float((s[best[-1]] + low) / 2), float(f1.max())
+    ends = np.append(s[1:] < s[:-1], True)  # rows of one score fall together
+    best = np.flatnonzero(ends & (f1 >= f1[ends].max() - 1e-12))
+    low = s[best[-1] + 1] if best[-1] + 1 < n else s[best[-1]] - 1
+    return float((s[best[-1]] + low) / 2), float(f1[best[-1]])
 
 
 def defects(instruction: str | None, response: str | None, model: dict) -> list[str]:
-    """The defects of one pair."""
+    """The defects of one pair: 'empty', or every label whose score is above its cut."""
     if says_nothing(response):
         return ["empty"]
-    named = features(instruction, response, model["known"])
+    named = features(instruction, response, model["known"], model["profiles"])
     out = []
     for label in LABELS:
         i, v = _hashed(named[label])
-        if float(model["weights"][label][i] @ np.array(v, np.float32)) > model["cut"][label]:
+        if i and float(model["weights"][label][i] @ np.array(v, np.float32)) > model["cut"][label]:
             out.append(label)
-    if "refusal" in out:
-        # a refusal is complete as it stands, and its language was chosen with it
-        out = [x for x in out if x == "refusal" or (x == "language")]
-    if "copy" in out:
-        out = ["copy"]
     return out
 
 
 def sample_of(df: DataFrame, key: str, instruction: str, response: str, most: int = SAMPLE) -> list[tuple[str | None, str | None]]:
-    """At most ``most`` pairs, those with the smallest hashes of their key."""
-    rows = df.select(key, instruction, response).distinct().orderBy(F.xxhash64(key), key).limit(most).collect()
-    return [(r[1], r[2]) for r in rows]
+    """At most ``most`` pairs, those with the smallest hashes of their key; of a key's different pairs the smallest.
+
+    Only keys whose hash lies in a range that holds about four times as many rows go through the aggregate.
+    """
+    total = df.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    x = df.select(key, F.struct(instruction, response).alias("pair"), place.alias("place"))
+    if total > 8 * most:
+        x = x.where(F.col("place") < F.lit(int(4 * most / total * (1 << 20)) + 1))
+    rows = x.groupBy(key, "place").agg(F.min("pair").alias("pair")).orderBy("place", key).limit(most).collect()
+    return [(r.pair[0], r.pair[1]) for r in rows]
 
 
 def broken_pairs(df: DataFrame, key: str, instruction: str, response: str, model: dict | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Near duplicates, leaks, repetition, splits, pairs and subjects against brute force and at the edges."""
 
 import re
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loam.llm import leaks, neardups, pairs, repetition, splits, subjects, words
@@ -192,6 +194,38 @@ def test_broken_pairs():
     assert judge(say, None) == [] and judge(ask, "") == []
 
 
+def test_nothing_to_go_by_is_no_defect():
+    for sample in ([*SOUND, *GERMAN], SOUND[:12], []):
+        model = pairs.fit(sample)
+        for say in ("7", "0x3f", "Yes", "No.", "UDP port 53", "Wolnax", "X", "1.5"):
+            for ask in (None, "", SOUND[0][0], GERMAN[0][0]):
+                assert not {"refusal", "copy", "language"} & set(pairs.defects(ask, say, model)), (say, ask)
+    none = pairs.features("", "0", frozenset(), pairs.Profiles([]))
+    assert none["language"] == {} and set(none["copy"]) == {"bias", "no words"}
+
+
+def test_languages_from_ngrams():
+    profiles = pairs.Profiles([f"{i} {r}" for i, r in [*SOUND, *GERMAN]])
+    assert profiles.language("der prüfende Dienst begrenzt danach alle Geräte") == "de" and profiles.language("the switch limits every table") == "en"
+    assert profiles.language("Après quoi le service vérifie la table") == "fr" and profiles.language("El servicio verifica la tabla según lo previsto") == "es"
+    assert profiles.language("X9 ABC 17") == "" and profiles.language("```\nset unit port\n```") == ""
+    assert profiles.expected("Say it in French: the switch limits every table.") == {"en", "fr"}
+
+
+def test_counts_hold_over_samples():
+    """The labels' counts over the whole table agree within 2 percent (or 2 rows), whatever sample the models are fitted on."""
+    table = pd.read_parquet("/root/testdata/sf0.1/evaluation.parquet").drop_duplicates("pair_id")
+    both = list(zip(table.instruction, table.response))
+    counts = []
+    for n in (300, 1000, 2000, 3000):
+        own = table.sample(min(n, len(table)), random_state=5)
+        model = pairs.fit(list(zip(own.instruction, own.response)))
+        counts.append(Counter(d for i, r in both for d in pairs.defects(i, r, model)))
+    for label in ("empty", *pairs.LABELS):
+        most = counts[-1][label]
+        assert all(abs(c[label] - most) <= max(2, 0.02 * most) for c in counts), (label, counts)
+
+
 def test_broken_pairs_table(spark):
     rows = [(f"p{i}", q, r) for i, (q, r) in enumerate([*SOUND, *GERMAN])] + [("e", None, None), ("e", None, None), ("c", SOUND[1][0], SOUND[1][0])]
     df = spark.createDataFrame(rows, "pair_id string, instruction string, response string").withColumn("defect", F.lit(1))
