@@ -3,7 +3,7 @@
 Several rules measure how much of a text repeats itself; each votes "repetitive",
 "sound" or abstains.  Expectation-maximisation over the counts of vote patterns estimates how
 often each rule is right and how common repetition is, and gives each pattern a
-posterior probability.  No rule has to be passed on its own.
+posterior probability, which alone decides.  No rule has to be passed on its own.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from loam.session import map_arrow, written
 
 #: Words in a run that counts as repeated, fewest words of a text, share that counts as repetitive.
 RUN, LEAST, SHARE = 4, 12, 0.30
+#: Posterior probability from which a text is repetitive.
+CUT = 0.5
 #: The rules: measure, votes "repetitive" from here, votes "sound" up to here; between them a rule abstains.
 RULES = {
     "run_share": (SHARE, 0.10),
@@ -46,35 +48,40 @@ def _again(parts: list[str]) -> float:
     return again / total if total else 0.0
 
 
-def repeated_words(h: np.ndarray) -> int:
-    """How many words lie in a run of RUN words that also began earlier."""
-    if len(h) < RUN:
-        return 0
-    term, _ = words.runs(h, np.array([0, len(h)]), RUN)
-    first = np.zeros(len(term), bool)
-    first[np.unique(term, return_index=True)[1]] = True
-    inside = np.zeros(len(h) + 1, np.int64)
-    late = np.flatnonzero(~first)
-    np.add.at(inside, late, 1)
-    np.add.at(inside, late + RUN, -1)
-    return int((np.cumsum(inside[:-1]) > 0).sum())
-
-
-def _measures(text: str, h: np.ndarray) -> list[float]:
-    n = len(h)
-    if not n:
-        return [0.0] * len(RULES)
-    pairs, _ = words.runs(h, np.array([0, n]), 2)
-    top = int(np.unique(pairs, return_counts=True)[1].max()) if len(pairs) else 0
-    low = text.lower().encode()
-    return [
-        repeated_words(h) / n,
-        _again(_SENTENCE.split(text)),
-        _again(text.split("\n")),
-        2 * top / n if top > 1 else 0.0,
-        1 - len(np.unique(h)) / n,
-        max(0.0, 1 - len(zlib.compress(low, 6)) / len(low)),
-    ]
+def _marked(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Values that are equal only within one text."""
+    with np.errstate(over="ignore"):
+        return words.mix(h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def repeated_words(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text of a batch, how many words lie in a run of RUN words that also began earlier in it."""
+    term, at = words.runs(h, first, RUN)
+    late = np.ones(len(term), bool)
+    late[np.unique(_marked(term, np.searchsorted(first, at, "right")), return_index=True)[1]] = False
+    edges = np.zeros(len(h) + 1, np.int64)
+    np.add.at(edges, at[late], 1)
+    np.add.at(edges, at[late] + RUN, -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
+    return covered[first[1:]] - covered[first[:-1]]
+
+
+def _measures(texts: list[str], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated words of each text, and the measures of all RULES, a line for each text; texts without words measure 0."""
+    n = np.diff(first)
+    again = repeated_words(h, first)
+    pair, at = words.runs(h, first, 2)
+    who = np.searchsorted(first, at, "right") - 1
+    _, place, times = np.unique(_marked(pair, who), return_index=True, return_counts=True)
+    top = np.zeros(len(n), np.int64)
+    np.maximum.at(top, who[place], times)
+    owner = np.repeat(np.arange(len(n)), n)
+    distinct = np.bincount(owner[np.unique(_marked(h, owner), return_index=True)[1]], minlength=len(n))
+    some = np.maximum(n, 1)
+    low = [x.lower().encode("utf-8", "surrogatepass") for x in texts]
+    squeezed = [max(0.0, 1 - len(zlib.compress(x, 6)) / len(x)) if x else 0.0 for x in low]
+    m = np.stack([again / some, [_again(_SENTENCE.split(x)) for x in texts], [_again(x.split("\n")) if "\n" in x else 0.0 for x in texts], np.where(top > 1, 2 * top / some, 0.0), 1 - distinct / some, squeezed], 1)
+    return again, np.where(n[:, None] > 0, m, 0.0)
 
 
 def measures(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -93,10 +100,8 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
             for a, b, part in bpe.chunks(batch.column(1).to_pylist()):
                 h, first, _, _ = words.word_hashes([x.lower() for x in part], digits=False)
                 n = np.diff(first)
-                own = [h[first[i] : first[i + 1]] for i in range(len(part))]
-                m = np.array([_measures(x, y) for x, y in zip(part, own)]).reshape(-1, len(RULES))
+                again, m = _measures(part, h, first)
                 vote = np.where(n[:, None] < LEAST, 2, np.where(m >= high, 1, np.where(m <= low, 0, 2)))
-                again = np.rint(m[:, 0] * n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n), pa.array(again), *[pa.array(m[:, j]) for j in range(len(RULES))], pa.array(["".join(map(str, v)) for v in vote], pa.string())],
                     names=[key, "n_words", "n_repeated", *RULES, "pattern"],
@@ -138,30 +143,24 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> dict:
     return {"prior": float(prior), "right": right, "posterior": dict(zip(names, map(float, q)))}
 
 
-def score(df: DataFrame, key: str, text: str) -> tuple[DataFrame, dict]:
+def score(df: DataFrame, key: str, text: str, cut: float = CUT) -> tuple[DataFrame, dict]:
     """(key, n_words, n_repeated, measures, p_repetitive, flagged) of every row, and the estimate.
 
-    The cut is calibrated on all rows: it is the largest posterior at which no text of
-    at least LEAST words and SHARE repeated words falls below.  Rows delivered twice give equal
-    rows; an empty table gives none.
+    A text is flagged where the posterior of its votes is at least ``cut``; no rule decides by itself, and
+    nothing but the counts of vote patterns over all rows enters the estimate.  Rows delivered twice
+    give equal rows; an empty table gives none.
     """
     made = written(measures(df, key, text))
-    exact = (F.col("n_words") >= LEAST) & (F.col("n_repeated") >= SHARE * F.col("n_words"))
-    # at most 3 to the number of rules rows
-    seen = made.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(exact).alias("hit")).collect()
-    model = estimate({r.pattern: r.n for r in seen})
-    sure = [model["posterior"][r.pattern] for r in seen if r.hit]
-    model["cut"] = min([0.5, *sure])
+    seen = made.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 to the number of rules rows
+    model = estimate({r.pattern: r.n for r in seen}) | {"cut": cut}
     table = F.create_map(*[F.lit(x) for kv in sorted(model["posterior"].items()) for x in kv]) if seen else F.create_map().cast("map<string,double>")
     out = made.withColumn("p_repetitive", F.coalesce(F.try_element_at(table, F.col("pattern")), F.lit(0.0)))
-    return out.withColumn("flagged", F.col("p_repetitive") >= F.lit(model["cut"])).drop("pattern"), model
+    return out.withColumn("flagged", F.col("p_repetitive") >= F.lit(cut)).drop("pattern"), model
 
 
 def repetitive(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key): texts that the posterior flags and whose repeated share is confirmed by count."""
-    scored, _ = score(df, key, text)
-    sure = (F.col("n_words") >= LEAST) & (F.col("n_repeated") >= SHARE * F.col("n_words"))
-    return scored.where(F.col("flagged") & sure).select(key).distinct()
+    """(key): the texts that the posterior flags."""
+    return score(df, key, text)[0].where("flagged").select(key).distinct()
 
 
 def rule_report(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loam.llm import leaks, neardups, pairs, repetition, splits, subjects, words
@@ -128,13 +129,30 @@ def test_repetition(spark, rng):
         w = [rng.choice(WORDS[:50]).translate({ord(c): "abcdefghij"[int(c)] for c in "0123456789"}) for _ in range(rng.randrange(5, 60))]
         texts.append(" ".join(w + w[: rng.randrange(len(w))]))
     df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "id bigint, text string").withColumn("pattern", F.lit("p"))
-    want = sorted(i for i, x in enumerate(texts) if (n := repeats(x))[0] >= 12 and n[1] >= 0.3 * n[0])
-    assert sorted(r.id for r in repetition.repetitive(df, "id", "text").collect()) == want
-    scored = {r.id: (r.n_words, r.n_repeated) for r in repetition.score(df, "id", "text")[0].collect()}
-    assert scored == {i: repeats(x) for i, x in enumerate(texts)}
+    scored = repetition.score(df, "id", "text")[0]
+    assert {r.id: (r.n_words, r.n_repeated) for r in scored.collect()} == {i: repeats(x) for i, x in enumerate(texts)}
+    # the posterior alone decides: what is flagged is what reaches the cut, and another cut gives other rows
+    assert {r.id for r in repetition.repetitive(df, "id", "text").collect()} == {r.id for r in scored.collect() if r.p_repetitive >= repetition.CUT}
+    assert repetition.score(df, "id", "text", cut=0.0)[0].where("flagged").count() > scored.where("flagged").count() > 0
+    assert not {0, 1, 2} & {r.id for r in repetition.repetitive(df, "id", "text").collect()} and {3, 5} <= {r.id for r in repetition.repetitive(df, "id", "text").collect()}
     assert repetition.repetitive(df.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_posterior_against_the_definition(spark, sf):
+    """Precision and recall of the posterior against the counted share, which it never sees."""
+    scored = repetition.score(spark.read.parquet(f"/root/testdata/{sf}/model_responses.parquet"), "response_id", "response")[0]
+    exact = (F.col("n_words") >= repetition.LEAST) & (F.col("n_repeated") >= repetition.SHARE * F.col("n_words"))
+    both, flagged, true = scored.agg(F.count_if(F.col("flagged") & exact), F.count_if("flagged"), F.count_if(exact)).first()
+    assert true and both >= 0.99 * flagged and both >= 0.99 * true
+
+
+def test_repeated_words_of_a_batch(rng):
+    texts = [" ".join(rng.choice("abc") * 3 for _ in range(rng.randrange(0, 30))) for _ in range(80)]
+    h, first, _, _ = words.word_hashes(texts, digits=False)
+    assert repetition.repeated_words(h, first).tolist() == [repeats(x)[1] for x in texts]
+
+
 def test_em_finds_good_rules():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.2
