@@ -116,6 +116,22 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p4_found, p4_scores, p4_rules, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill, p9_found, p9_composition)}
 
+#: The documents that queries name, and all queries that these connect each with.
+_NAMED = r"""
+with recursive q as (select id, source_document as x from domain_exact_generation_queries where source_document is not null union all select id, source_file from domain_exact_generation_queries where source_file is not null),
+p as (select id, trim(unnest(regexp_split_to_array(lower(x), ' *; *| +/ +| +and +'))) as x from q),
+r as (select id, 'rfc:' || unnest(regexp_extract_all(x, '(?:rfc|request for comments)[^0-9a-z]*0*([0-9]+)', 1)) as e from p),
+f as (select id, regexp_replace(case when contains(x, ' ') then x else regexp_replace(x, '^.*[/\\]', '') end, '\.(?:pdf|txt)$', '') as x from p where not regexp_matches(x, '(?:rfc|request for comments)[^0-9a-z]*[0-9]')),
+t as (select id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(x, ',? *(?:chapter|section) [0-9.]+ *$', ''), '[^a-z0-9]+', ' ', 'g')), '^the ', ''), ' (?:release |rel |v)([0-9]+ [0-9]+)$', ' \1') as e from f),
+n as (select distinct id, e from r union select distinct id, e from t where regexp_matches(e, '^[a-z].* [0-9]+ [0-9]+$')),
+d as (select distinct a.id, b.id as other from n a join n b using (e)),
+c as (select id, other from d union select c.id, d.other from c join d on d.id = c.other)"""
+#: Each query's component, and the split whose range its hash falls into.
+_ASSIGNED = """,
+g as (select id, coalesce(min(other), id) as component from (select distinct id from domain_exact_generation_queries where id is not null) left join c using (id) group by id),
+k as (select split_name, sum(proportion) over (order by split_name) / sum(proportion) over () as upto from split_targets where proportion > 0),
+a as (select id, component, arg_min(split_name, upto) as split_name from (select *, ('0x' || substr(sha256('split:' || component), 1, 13))::bigint / 4503599627370496.0 as place from g) join k on place < upto group by id, component)"""
+
 #: Where SQL can say what a query finds, whatever way the operator takes.
 SQL: dict[str, str] = {
     "p1_found": r"""
@@ -140,14 +156,11 @@ g as (select i, unnest(range(1, len(w) - 2)) as p, w from r where len(w) >= 12),
 f as (select i, p, min(p) over (partition by i, array_to_string(w[p:p+3], ' ')) < p as again from g),
 c as (select i, count(distinct p + k) as covered from f, (select unnest(range(4)) as k) where again group by i)
 select distinct response_id from r join c using (i) where covered >= 0.3 * len(w)""",
-    "p6_found": r"""
-with recursive q as (select id, source_document as x from domain_exact_generation_queries where source_document is not null union all select id, source_file from domain_exact_generation_queries where source_file is not null),
-p as (select id, trim(unnest(regexp_split_to_array(lower(x), ' *; *| +/ +| +and +'))) as x from q),
-r as (select id, 'rfc:' || unnest(regexp_extract_all(x, '(?:rfc|request for comments)[^0-9a-z]*0*([0-9]+)', 1)) as e from p),
-f as (select id, regexp_replace(case when contains(x, ' ') then x else regexp_replace(x, '^.*[/\\]', '') end, '\.(?:pdf|txt)$', '') as x from p where not regexp_matches(x, '(?:rfc|request for comments)[^0-9a-z]*[0-9]')),
-t as (select id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(x, ',? *(?:chapter|section) [0-9.]+ *$', ''), '[^a-z0-9]+', ' ', 'g')), '^the ', ''), ' (?:release |rel |v)([0-9]+ [0-9]+)$', ' \1') as e from f),
-n as (select distinct id, e from r union select distinct id, e from t where regexp_matches(e, '^[a-z].* [0-9]+ [0-9]+$')),
-d as (select distinct a.id, b.id as other from n a join n b using (e)),
-c as (select id, other from d union select c.id, d.other from c join d on d.id = c.other)
+    "p6_found": _NAMED + """
 select min(other) as first_id, id from c group by id having min(other) < id""",
+    "p6_splits": _NAMED + _ASSIGNED + """
+select id, component, split_name from a""",
+    "p6_split_report": _NAMED + _ASSIGNED + """,
+m as (select split_name, count(*)::bigint as records, count(distinct component)::bigint as components from a group by 1)
+select split_name, proportion, coalesce(records, 0) as records, coalesce(components, 0) as components, coalesce(records, 0) / sum(coalesce(records, 0)) over () as share from split_targets left join m using (split_name)""",
 }

@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from loam.llm.words import INVISIBLE
 from loam.operators.components import connected_components
+from loam.operators.grouping import with_group_values
 from loam.session import map_arrow, written
 
-#: A component of more than this part of all rows is placed by itself: as many at most come to the driver.
-LARGE = 500
-
 _RFC = re.compile(r"(?:\brfc|request\s+for\s+comments)[\W_]*0*(\d+)")
 _PLACE = re.compile(r"[\s,;(\[]*\b(?:sections?|sec|chapters?|chap|ch|appendix|pages?|pp|part|figure|table)\b\.?\s*[\w.\-]+[\s)\]]*$|\s*§\s*[\w.]+\s*$")
 _EXTENSION = re.compile(r"\.(?:pdf|txt|html?|docx?|md|xml|rst|json)$")
@@ -70,7 +68,9 @@ def entities(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lists = [sorted({e for c in b.columns[1:] for e in documents_named(c[i].as_py())}) for i in range(b.num_rows)]
+            coded = [c.dictionary_encode() for c in b.columns[1:]]  # a label that many rows have is parsed once a batch
+            parsed = [([documents_named(x) for x in c.dictionary.to_pylist()], c.indices.to_pylist()) for c in coded]
+            lists = [sorted({e for names, at in parsed if at[i] is not None for e in names[at[i]]}) for i in range(b.num_rows)]
             rows = [i for i, x in enumerate(lists) for _ in x]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([e for x in lists for e in x], pa.string())], names=[key, "entity"])
 
@@ -84,8 +84,8 @@ def groups(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     that a third of all rows name gives one edge a row (to its smallest row).
     """
     named = written(entities(df, key, columns))
-    hub = named.groupBy("entity").agg(F.min(key).alias("hub"))
-    edges = named.join(hub, "entity").select(F.col(key).alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
+    hubs = with_group_values(named.select(F.col(key).alias("a"), "entity"), "entity", "a", b=F.min("a"))  # spreads the rows of a hot entity
+    edges = hubs.where("a != b").select("a", "b").distinct()
     found = connected_components(edges).withColumnRenamed("node", key)
     return (
         df.select(key).where(F.col(key).isNotNull()).distinct().join(found, key, "left").select(key, F.coalesce("component", key).alias("component"))
@@ -95,34 +95,23 @@ def groups(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def assign(grouped: DataFrame, key: str, targets: DataFrame, seed: str = "split") -> DataFrame:
     """(key, component, split_name): whole components into splits of about the given proportions.
 
-    ``targets`` is a table of a few rows (split_name, proportion).  Components of more than
-    the LARGEth part of all rows (at most LARGE of them) go first, each to the split that lacks
-    most; the others fall by the hash of their identifier into ranges proportional to
-    what the splits still lack.
+    ``targets`` is a table of a few rows (split_name, proportion).  A component's identifier and the seed, hashed,
+    are a number in [0, 1); the splits, in the order of their names, have ranges of that in proportion.  So
+    a component's split depends on nothing but its identifier, whatever its size and whatever else the
+    table holds; how far the shares are from the proportions follows from the sizes of components
+    (:func:`split_report`).  Without a positive proportion the split is null.
     """
     wanted = [(r.split_name, float(r.proportion)) for r in targets.orderBy("split_name").collect() if r.proportion and r.proportion > 0]
-    sizes = written(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sizes.where(F.col("n") > max(1, total / LARGE)).orderBy(F.desc("n"), "component").collect()
     whole = sum(p for _, p in wanted)
-    lack = {name: p / whole * total for name, p in wanted}
-    fixed = {}
-    for r in large:
-        fixed[r.component] = name = max(lack, key=lambda s: (lack[s], s))
-        lack[name] -= r.n
-    rest = {s: max(0.0, v) for s, v in lack.items()}
-    room = sum(rest.values()) or 1.0
     # 52 bits of SHA-256 as a number in [0, 1)
     place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    by_range, upto = None, 0.0
-    for s, v in rest.items():
-        upto += v / room
-        by_range = F.when(place < upto, s) if by_range is None else by_range.when(place < upto, s)
-    last = max(rest, key=lambda s: rest[s]) if rest else None
-    by_range = by_range.otherwise(F.lit(last)) if by_range is not None else F.lit(None).cast("string")
-    if fixed:
-        table = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])
-        by_range = F.coalesce(F.try_element_at(table, F.col("component")), by_range)
+    by_range, upto = F.lit(None).cast("string"), 0.0
+    for k, (name, p) in enumerate(wanted):
+        upto += p / whole
+        if k == len(wanted) - 1:
+            by_range = F.lit(name) if k == 0 else by_range.otherwise(F.lit(name))
+        else:
+            by_range = F.when(place < upto, name) if k == 0 else by_range.when(place < upto, name)
     return grouped.select(key, "component", by_range.alias("split_name"))
 
 

@@ -188,6 +188,12 @@ def test_splits_keep_groups(spark):
     share = sum(r.split_name == "train" for r in got) / len(got)
     assert 0.7 < share < 0.9
     assert splits.assign(splits.groups(df.limit(0), "id", ["source_document"]), "id", targets).count() == 0
+    # a component that holds most rows, and rows that come later, move nobody
+    more = grouped.unionByName(spark.range(2000).select(F.concat(F.lit("z"), F.col("id").cast("string")).alias("id"), F.lit("z0").alias("component")))
+    later = {r.component: r.split_name for r in splits.assign(more, "id", targets).collect()}
+    assert all(later[r.component] == r.split_name for r in got) and later["z0"] in ("train", "validation", "test")
+    assert {r.split_name for r in splits.assign(grouped, "id", targets.where("split_name = 'test'")).collect()} == {"test"}
+    assert {r.split_name for r in splits.assign(grouped, "id", targets.limit(0)).collect()} == {None}
 
 
 SOUND = [
