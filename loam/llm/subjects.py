@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.words import readings
+from loam.operators.grouping import first_k
 from loam.session import map_arrow, written
 
-#: Largest number of labelled examples, purity that a term needs, share below which a subject is in passing, and share that counts.
+#: Largest number of labelled examples (shared equally by the subjects), purity that a term needs, share below which a subject is in passing, and share that counts.
 EXAMPLES, PURE, PASSING, DEALS = 5000, 0.8, 0.08, 0.15
-#: Terms a lexicon may have; a sentence's terms are stored as sentence * TERMS + term.
-TERMS = 1 << 14
+#: Terms a lexicon may have (more are an error); a sentence's terms are stored as sentence * TERMS + term.
+TERMS = 1 << 20
 
 #: Curated terms, most of them words of a field that few examples hold.
 CURATED = {
     "routing": "topology adjacency advertise advertises flood floods next-hop link-state sistema autónomo,système autonome,autonomes system,encaminamiento,routage,nachbarschaft,vecindad,voisinage,enrutador,routeur",
-    "switching": "encapsulate encapsulates flush flushes tag tags vlan port-channel portgruppe conmutador commutateur vermittlungsebene uplink enlace ascendente,liaison montante,spanning tree,mac table,carte de ligne,tarjeta de línea,leaf-gerät",
+    "switching": "encapsulate encapsulates flush flushes tag tags vlan port-channel portgruppe conmutador commutateur vermittlungsebene uplink enlace ascendente,liaison montante,spanning tree,mac table,carte de ligne,tarjeta de línea",
     "security": "cipher encrypt encrypts handshake passphrase revoke revokes intrusion intrusion sensor,access list,zugriffsliste,cortafuegos,pare-feu,contraseña,mot de passe,kennwort,cifrado,chiffrement,intrusión,détection d intrusion,menace,amenaza",
     "telemetry": "syslog poller dashboard anomaly health score,compliance check,time series,flow record,log export,sensor path,tableau de bord,panel de control,serie temporal,série temporelle,messreihe,zählerabfrage,recolección,registros,inventario,inventaire",
     "wireless": "attenuate attenuates handover roaming subcarrier airtime guard interval,steer steers coverage cell,base station,access point,transmit power,funkzelle,funkspektrum,funksignal,estación base,station de base,spectre,itinérance,itinerancia,celda,cellule,basisstation",
@@ -51,11 +52,8 @@ _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 _BLANK_LINE = re.compile(r"\n[ \t>|]*(?=\n)|\f")
 _WRAP = re.compile(r"\s*\n[ \t>|]*")
 _END = re.compile(r"([.!?。])[\"'”»)\]}]*(?:\s+|$)")
-_CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_SHORT = re.compile(r"\bcourt\s+délai")  # in French no word for a court
+_CODE = re.compile(r"```(?:.*?```|.*?(?=\n[ \t]*\n|\Z))", re.S)  # a block that is not closed ends at a blank line
 _DASH = dict.fromkeys(range(0x2010, 0x2016), "-")
-#: Legal and sales notices, which are about no subject.
-_NOTICE = re.compile(r"warrant(?:y|ies)\b|as-is basis|may be passed on without|marks of their holders|account team before|translations into other languages are welcome")
 _MOJIBAKE = re.compile("[Â-ôŠš][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]+")
 _TAG = re.compile(r"</?[a-z][^<>]{0,200}>")
 
@@ -72,7 +70,7 @@ def _redecoded(m: re.Match) -> str:
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text: lower case, broken words and lines joined, wrong decodings put right.
 
-    A sentence has four words or more and ends with a mark; code, commands, titles and notices are none.
+    A sentence has four words or more and ends with a mark; code, commands and titles are none.
     """
     if not text:
         return []
@@ -85,13 +83,13 @@ def sentences(text: str | None) -> list[str]:
     if "```" in x:
         x = _CODE.sub("\n\n", x)
     if not x.isascii():
-        x = _SHORT.sub("délai", x.translate(_DASH))
+        x = x.translate(_DASH)
     out = []
     for block in _BLANK_LINE.split(x):
         parts = _END.split(_WRAP.sub(" ", block.strip()))
         for s in parts[:-1:2]:
             w = _WORD.findall(s)
-            if len(w) >= 4 and not _NOTICE.search(s):
+            if len(w) >= 4:
                 out.append(" ".join(w))
     return out
 
@@ -133,7 +131,9 @@ def lexicon(examples: list[tuple[str, str]], curated: dict[str, str] | None = No
                 for t in _curated_terms(part.split()):
                     if t not in seen:
                         terms.setdefault(t, {subject: 0.9})
-    return sorted(terms.items())[: TERMS - 1]
+    if len(terms) >= TERMS:
+        raise ValueError(f"{len(terms)} terms, more than a lexicon may have: take fewer examples")
+    return sorted(terms.items())
 
 
 #: Curated terms of several words.
@@ -252,14 +252,21 @@ def calibrated(shares: DataFrame, steps: int = 200, least_sentences: int = 13) -
     return (best[1] + best[2]) / 2 / steps
 
 
+def sample_of(examples: DataFrame, most: int = EXAMPLES) -> list[tuple[str, str]]:
+    """(subject, text): at most ``most`` labelled examples, for each subject as many, those with the smallest hashes of their text."""
+    known = examples.select("subject", "text").where("subject is not null and text <> ''").distinct()
+    n = known.select("subject").distinct().count()
+    own = first_k(known, "subject", [F.xxhash64("text"), "text"], max(1, most // max(n, 1)))
+    return sorted((r.subject, r.text) for r in own.select("subject", "text").collect())
+
+
 def document_subjects(df: DataFrame, key: str, text: str, examples: DataFrame, threshold: float | None = None) -> DataFrame:
     """(key, subject, share): every subject that a document deals with; documents without one have no row.
 
-    ``examples`` has subject and text; at most EXAMPLES rows of it are used.  Null, empty and very
+    ``examples`` has subject and text; at most EXAMPLES rows of it are used (:func:`sample_of`).  Null, empty and very
     short texts have no sentences and no subjects.  The corpus is read once.
     """
-    labelled = [(r.subject, r.text) for r in examples.select("subject", "text").orderBy("subject", "text").limit(EXAMPLES).collect() if r.subject and r.text]
-    lex = lexicon(labelled)
+    lex = lexicon(sample_of(examples))
     subjects = sorted({s for _, by in lex for s in by})
     matched = written(term_matches(df, key, text, [t for t, _ in lex]))
     per_term = (

@@ -276,3 +276,22 @@ def test_subjects(spark):
 def test_sentences():
     assert subjects.sentences("Ein pareâ€“feu wird heute geprÃ¼ft. Zu kurz.") == ["ein pare-feu wird heute geprüft"]
     assert subjects.sentences(None) == [] and subjects.sentences("no shutdown set unit range") == []
+
+
+def test_examples_of_every_subject(spark):
+    """Beyond the bound every subject keeps its share of examples, whatever its name."""
+    rows = [(f"s{i % 4}" if i % 3 else "a", f"text {i}") for i in range(6000)] + [("z", "only one"), (None, "x"), ("a", None), ("a", "")]
+    found = Counter(s for s, _ in subjects.sample_of(spark.createDataFrame(rows, "subject string, text string")))
+    assert set(found) == {"a", "s0", "s1", "s2", "s3", "z"} and found["z"] == 1 and sum(found.values()) <= subjects.EXAMPLES
+    assert min(v for k, v in found.items() if k != "z") == subjects.EXAMPLES // 6
+
+
+def test_too_many_terms_are_an_error(monkeypatch):
+    monkeypatch.setattr(subjects, "TERMS", 10)
+    with pytest.raises(ValueError, match="terms"):
+        subjects.lexicon(EXAMPLES)
+
+
+def test_an_open_code_block_ends_at_a_blank_line():
+    assert subjects.sentences("```\nset a b c d.\n\nThe switch forwards every frame.") == ["the switch forwards every frame"]
+    assert subjects.sentences("```\nx y z w.\n\nset a b c d.\n```\n\nThe switch forwards every frame.") == ["the switch forwards every frame"]
