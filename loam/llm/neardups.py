@@ -1,13 +1,16 @@
-"""Near-duplicate records: order MinHash, then banded alignment and an exact check.
+"""Near-duplicate records: order MinHash, banded alignment, and an exact check.
 
 A sketch takes the two smallest of all occurrence-labelled runs of ``SHINGLE`` words
-(under one hash function of several) and keeps them in text order.  Records that
+(under one hash function of several) and keeps them in text order.  Records with repeated runs
+have sketches of their distinct runs as well.  Records that
 share ``SHARED`` sketches are candidates: at the threshold two records share a sketch
-with probability 0.7 squared times that of the same order, so of 64 about 16 to 30.  A candidate is aligned: its shared runs of words are
-laid into bands of diagonals (a moved block has a band of its own), and the edit
-distance within the main band is measured.  An alignment follows the text's order, and
-would refuse a reordered record, so what is kept is decided by the Jaccard similarity
-of the sets of runs, and the alignment describes each link.
+with probability 0.7 squared times that of the same order, so of 64 about 16 to 30.
+Sketches of more than ``HOT`` records join nothing; records that have one are compared by
+an index of their rarest runs, which loses no pair.
+
+A candidate is aligned: its common runs are laid into bands of diagonals, and a moved
+block has a band of its own.  Pairs whose bands of two common runs or more cover ``ALIGNED`` of the smaller
+record go on, and the Jaccard similarity of the sets of runs is checked exactly.
 Records with equal sets form one class, of which one member is compared.
 """
 
@@ -20,15 +23,29 @@ from pyspark.sql import functions as F
 
 from loam.llm import bpe, words
 from loam.operators.components import connected_components
+from loam.operators.grouping import with_group_values
 from loam.session import map_arrow, written
 
 #: Words in a run, sketches of a record, sketches that candidates share, half the width of a band.
 SHINGLE, SKETCHES, SHARED, BAND = 3, 64, 3, 24
+#: Records from which a sketch joins nothing, share of the smaller record's runs that an alignment covers.
+HOT, ALIGNED = 1000, 0.6
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _drawn(named: np.ndarray) -> np.ndarray:
+    """The order sketches of runs in text order."""
+    with np.errstate(over="ignore"):
+        drawn = words.mix(named[None, :] ^ _SEEDS[:, None])
+        if len(named) > 2:
+            two = np.sort(np.argpartition(drawn, 2, axis=1)[:, :2], axis=1)
+        else:
+            two = np.tile(np.array([0, len(named) - 1]), (SKETCHES, 1))
+        return words.mix(named[two[:, 0]] * np.uint64(3) + named[two[:, 1]] * np.uint64(0xC2B2AE3D27D4EB4F) + _SEEDS)
+
+
 def _sketches(term: np.ndarray) -> np.ndarray:
-    """The order sketches of one text's runs of words."""
+    """The order sketches of one text's runs of words, labelled by occurrence; where runs repeat, those of the first occurrences too."""
     order = np.argsort(term, kind="stable")
     ranked = term[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -37,12 +54,7 @@ def _sketches(term: np.ndarray) -> np.ndarray:
     times[order] = (np.arange(len(term)) - since).astype(np.uint64)
     with np.errstate(over="ignore"):
         named = words.mix(term + times * np.uint64(0xA24BAED4963EE407))
-        drawn = words.mix(named[None, :] ^ _SEEDS[:, None])
-        if len(term) > 2:
-            two = np.sort(np.argpartition(drawn, 2, axis=1)[:, :2], axis=1)
-        else:
-            two = np.tile(np.array([0, len(term) - 1]), (SKETCHES, 1))
-        return words.mix(named[two[:, 0]] * np.uint64(3) + named[two[:, 1]] * np.uint64(0xC2B2AE3D27D4EB4F) + _SEEDS)
+    return _drawn(named) if new.all() else np.unique(np.concatenate([_drawn(named), _drawn(named[times == 0])]))
 
 
 def sketch(df: DataFrame, key: str, text: str, least_words: int = 20) -> DataFrame:
@@ -75,7 +87,7 @@ def sketch(df: DataFrame, key: str, text: str, least_words: int = 20) -> DataFra
                             pa.array(same, pa.int64()),
                             pa.array(n_runs, pa.int64()),
                             pa.ListArray.from_arrays(pa.array(until), pa.array(np.concatenate(seqs))),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES), pa.array(np.concatenate(sk))),
+                            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sk])]).astype(np.int32)), pa.array(np.concatenate(sk))),
                         ],
                         names=[key, "same", "n_runs", "seq", "sketches"],
                     )
@@ -142,8 +154,8 @@ def banded_distance(left: list[np.ndarray], right: list[np.ndarray], shift: list
     return np.minimum(out, np.maximum(lx, ly))
 
 
-def _verify(pairs: DataFrame, threshold: float, key: str, kind: str) -> DataFrame:
-    """(a, b, jaccard, in_bands, edit_similarity) of the pairs that pass; ``pairs`` has a, b, sa, sb."""
+def _verify(pairs: DataFrame, threshold: float, key: str, kind: str, describe: bool) -> DataFrame:
+    """(a, b, jaccard, in_bands, edit_similarity) of the pairs that align and pass; ``pairs`` has a, b, sa, sb. Without ``describe`` edit similarities are null."""
 
     def run(batches):
         for batch in batches:
@@ -154,7 +166,7 @@ def _verify(pairs: DataFrame, threshold: float, key: str, kind: str) -> DataFram
             for i in range(batch.num_rows):
                 x, y = vx[px[i] : px[i + 1]], vy[py[i] : py[i + 1]]
                 jaccard, aligned, main = _blocks(x, y)
-                if jaccard >= threshold:
+                if aligned >= ALIGNED and jaccard >= threshold:
                     keep.append(i)
                     score.append(jaccard)
                     banded.append(aligned)
@@ -162,7 +174,7 @@ def _verify(pairs: DataFrame, threshold: float, key: str, kind: str) -> DataFram
                     right.append(y)
                     shift.append(main)
             edit = np.zeros(len(keep))
-            order = sorted(range(len(keep)), key=lambda i: len(left[i]))
+            order = sorted(range(len(keep)), key=lambda i: len(left[i])) if describe else []
             at = 0
             while at < len(order):
                 until, most = at, len(left[order[at]])
@@ -174,19 +186,71 @@ def _verify(pairs: DataFrame, threshold: float, key: str, kind: str) -> DataFram
                 at = until
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(score, pa.float64()), pa.array(banded, pa.float64()), pa.array(edit)],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(score, pa.float64()), pa.array(banded, pa.float64()), pa.array(edit, pa.float64(), mask=np.full(len(keep), not describe))],
                 names=["a", "b", "jaccard", "in_bands", "edit_similarity"],
             )
 
     return map_arrow(pairs.select("a", "b", "sa", "sb"), run, f"a {kind}, b {kind}, jaccard double, in_bands double, edit_similarity double")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def _distinct_runs(made: DataFrame, key: str) -> DataFrame:
+    """(k, n_runs, r): each distinct run of each record."""
+    kind = made.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            seqs = batch.column(2)
+            off, flat = seqs.offsets.to_numpy(), seqs.values.to_numpy().view(np.uint64)
+            own = [np.unique(words.runs(flat[a:b], np.array([0, b - a]), SHINGLE)[0]) for a, b in zip(off[:-1], off[1:])]
+            rows = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["k", "n_runs", "r"]
+            )
+
+    return map_arrow(made.select(key, "n_runs", "seq"), run, f"k {kind}, n_runs bigint, r bigint")
+
+
+def rarest_run_pairs(made: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b), a < b: a superset of all pairs that reach the threshold.
+
+    Two such sets have a run in common among the n - ceil(threshold n) + 1 rarest of either.  Rare
+    runs come first, so a notice that many records share is in none of these lists as long as it
+    is less of a record than the threshold.
+    """
+    each = with_group_values(_distinct_runs(made, key), "r", "k", records=F.count(F.lit(1)))
+    lists = each.groupBy("k", "n_runs").agg(F.array_sort(F.collect_list(F.struct("records", "r"))).alias("rs"))  # a record's own runs
+    first = F.slice("rs", F.lit(1), (F.col("n_runs") - F.ceil(F.col("n_runs") * threshold - 1e-9) + 1).cast("int"))
+    index = written(lists.select("k", "n_runs", F.explode(first).alias("r")).where("r.records > 1").select("k", "n_runs", F.col("r.r").alias("s")))
+    return _paired(index, threshold).distinct()
+
+
+def _paired(buckets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: one row for each common s of two records whose sizes allow the threshold."""
+    other = buckets.select(F.col("k").alias("k2"), F.col("n_runs").alias("n2"), "s")
+    close = (F.col("k") < F.col("k2")) & (F.least("n_runs", "n2") >= F.lit(float(threshold)) * F.greatest("n_runs", "n2"))
+    return buckets.join(other, "s").where(close).select(F.col("k").alias("a"), F.col("k2").alias("b"))
+
+
+def candidates(first: DataFrame, key: str, threshold: float, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs that share SHARED sketches, and of the records with a sketch that more than ``hot`` share, those with a rare run in common."""
+    buckets = first.select(F.col(key).alias("k"), "n_runs", F.explode("sketches").alias("s"))
+    shared = buckets.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")  # most sketches have one record
+    known = written(buckets.join(shared, "s"))
+    enough = _paired(known.where(F.col("m") <= hot).drop("m"), threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
+    found = enough.select("a", "b")
+    crowded = known.where(F.col("m") > hot).select(F.col("k").alias(key)).distinct()
+    if crowded.isEmpty():
+        return found
+    return found.unionByName(rarest_run_pairs(first.join(crowded, key, "left_semi"), key, threshold)).distinct()
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, least_words: int = 20, describe: bool = True, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, jaccard, in_bands, edit_similarity) between classes, and members (rep, key).
 
     Texts with fewer words (null, empty and blank ones too) are in neither.
     ``key`` is unique; other columns are not read; an empty table gives no rows.
     Equal sets of runs form one class, named by its smallest key, whatever its size.
+    ``describe`` measures edit distances along each link's main band.
     """
     kind = df.schema[key].dataType.simpleString()
     made = written(sketch(df, key, text, least_words))
@@ -194,22 +258,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     members = written(made.select(key, "same").join(reps, "same").select("rep", key))
     # one member of each class goes on
     first = made.join(reps.select(F.col("rep").alias(key)), key, "left_semi")
-    buckets = first.select(F.col(key).alias("k"), "n_runs", F.explode("sketches").alias("s"))
-    other = buckets.select(F.col("k").alias("k2"), F.col("n_runs").alias("n2"), "s")
-    lower = F.lit(float(threshold))
-    cand = (
-        buckets.join(other, "s")
-        .where((F.col("k") < F.col("k2")) & (F.least("n_runs", "n2") >= lower * F.greatest("n_runs", "n2")))
-        .groupBy(F.col("k").alias("a"), F.col("k2").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= SHARED)
-        .select("a", "b")
-    )
+    cand = candidates(first, key, threshold, hot)
     seqs = first.select(F.col(key).alias("k"), "seq")
     pairs = cand.join(seqs.select(F.col("k").alias("a"), F.col("seq").alias("sa")), "a").join(
         seqs.select(F.col("k").alias("b"), F.col("seq").alias("sb")), "b"
     )
-    return _verify(pairs, threshold, key, kind), members
+    return _verify(pairs, threshold, key, kind, describe), members
 
 
 def expand(links: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -9,12 +9,12 @@ from loam.llm import bpe, leaks, neardups, packing, pairs, repetition, splits, s
 from loam.session import read
 
 
-def _near(spark: SparkSession, d: str):
-    return neardups.near_duplicates(read(spark, d, "rfc4136"), "record_id", "extracted_text")
+def _near(spark: SparkSession, d: str, describe: bool = True):
+    return neardups.near_duplicates(read(spark, d, "rfc4136"), "record_id", "extracted_text", describe=describe)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    links, members = _near(spark, d)
+    links, members = _near(spark, d, False)
     return neardups.expand(links, members, "record_id").select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
 
 
@@ -23,7 +23,7 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardups.classes(*_near(spark, d), "record_id")
+    return neardups.classes(*_near(spark, d, False), "record_id")
 
 
 def _held_out(spark: SparkSession, d: str) -> DataFrame:

@@ -56,6 +56,36 @@ def test_near_duplicates(spark, rng, rows):
     assert neardups.expand(none, nobody, "id").count() == 0
 
 
+def test_a_notice_that_a_third_shares(spark, rng, rows):
+    """Records that share a notice are no candidates through it, and no similar pair of them is lost."""
+    notice = [f"n{i}" for i in range(40)]
+    texts = []
+    for i in range(1200):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(60)]
+        texts.append((2 * i, " ".join(own + notice if i % 3 == 0 else own)))
+        if i % 40 == 0:  # edited copies, with the notice in another place
+            own[rng.randrange(60)] = "edit"
+            texts.append((2 * i + 1, " ".join(notice + own if i % 3 == 0 else own)))
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    made = neardups.sketch(df, "id", "text")
+    assert made.select(F.explode("sketches").alias("s")).groupBy("s").count().agg(F.max("count")).first()[0] > 100
+    few = neardups.candidates(made, "id", 0.7, hot=50)
+    assert 30 <= few.count() < 200  # all pairs through the notice would be 80,000
+    links, members = neardups.near_duplicates(df, "id", "text", hot=50)
+    assert rows(neardups.expand(links, members, "id")) == sorted(near_brute(texts), key=repr)
+    again, same = neardups.near_duplicates(df, "id", "text")
+    assert rows(neardups.expand(again, same, "id")) == rows(neardups.expand(links, members, "id"))
+
+
+def test_sets_agree_where_one_side_repeats(spark, rng, rows):
+    texts = []
+    for k in range(20):
+        base, notice = [f"b{rng.randrange(10**6)}" for _ in range(300)], [f"{k}n{i}" for i in range(30)]
+        texts += [(2 * k, " ".join(base + notice)), (2 * k + 1, " ".join(base + notice * 60))]
+    links, members = neardups.near_duplicates(spark.createDataFrame(texts, "id bigint, text string"), "id", "text", describe=False)
+    assert rows(neardups.expand(links, members, "id")) == sorted(near_brute(texts), key=repr) and len(near_brute(texts)) == 20
+
+
 def test_banded_distance():
     a, b = np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.uint64)
     c = np.delete(a, [3, 20])
