@@ -4,7 +4,8 @@ A term is a run of ``TERM`` words.  One pass over the corpus stores the postings
 (term, document, position) of the terms that occur in any item; a bitmap of
 fixed size lets only those through.  In each run of words that is to be found,
 the rarest term (by the lengths of the posting lists) is looked up, and the
-lists of its other terms are intersected at their offsets.
+lists of its other terms are intersected at their offsets.  What items have in common,
+quoted boilerplate say, is looked up and intersected once, and given to its items in the end.
 """
 
 from __future__ import annotations
@@ -86,26 +87,25 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     known = written(own.join(there, "term"))  # a term without postings is in no run that is found
     need = run - TERM + 1
     span = Window.partitionBy(*item).orderBy("j").rangeBetween(0, need - 1)
-    anchors = known.select(
-        *item, F.col("j").alias("at"), F.count(F.lit(1)).over(span).alias("n"), F.min(F.struct("df", "j", "term")).over(span).alias("r")
-    ).select(*item, "at", "n", F.col("r.j").alias("j"), F.col("r.term").alias("term"))
-    hits = anchors.join(index, "term").withColumn("diff", F.col("pos") - F.col("j"))
-    wanted = known.select(*item, F.col("j").alias("k"), "term")
-    # each candidate's other terms at the same offset
-    expect = (
-        hits.where(F.col("n") >= need)
-        .select(*item, doc_key, "diff", "at")
-        .withColumn("k", F.explode(F.expr(f"sequence(at, at + {need - 1})")))
-        .join(wanted, [*item, "k"])
-        .select(*item, doc_key, "diff", "at", (F.col("k") + F.col("diff")).alias("pos"), "term")
-    )
+    anchors = known.select(*item, F.col("j").alias("at"), F.count(F.lit(1)).over(span).alias("n"), F.min(F.struct("df", "j", "term")).over(span).alias("r"))
+    # a stretch: an anchor and the terms of all runs of words that it is the rarest of
+    stretch = anchors.where(F.col("n") >= need).groupBy(*item, F.col("r.j").alias("j"), F.col("r.term").alias("term")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    stretch = stretch.withColumn("k", F.explode(F.expr(f"sequence(lo, hi + {need - 1})"))).join(known.select(*item, F.col("j").alias("k"), F.col("term").alias("other")), [*item, "k"])
+    stretch = stretch.groupBy(*item, "j", "term", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct((F.col("k") - F.col("j")).alias("o"), "other"))).alias("terms"))
+    stretch = written(stretch.withColumn("s", F.xxhash64("term", "terms")))
+    # equal stretches of several items are looked up once
+    lookups = stretch.groupBy("s").agg(F.first("term").alias("term"), F.first("terms").alias("terms"))
+    expect = lookups.join(index, "term").select("s", doc_key, F.col("pos").alias("p"), F.explode("terms").alias("t")).select("s", doc_key, "p", "t.o", (F.col("p") + F.col("t.o")).alias("pos"), F.col("t.other").alias("term"))
+    there = expect.join(index, [doc_key, "pos", "term"], "left_semi").groupBy("s", doc_key, "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    starts = F.filter("os", lambda o, i: F.get("os", i + (need - 1)) == o + (need - 1))  # need consecutive places
     exact = (
-        expect.join(index, [doc_key, "pos", "term"], "left_semi")
-        .groupBy(doc_key, *item, "diff", "at")
-        .agg(F.countDistinct("pos").alias("n"))
-        .where(F.col("n") == need)
-        .select(doc_key, *item, "diff", "at")
+        there.select("s", doc_key, "p", F.explode(starts).alias("o"))
+        .join(stretch.select("s", *item, "j", "lo", "hi"), "s")
+        .withColumn("at", F.col("j") + F.col("o"))
+        .where(F.col("at").between(F.col("lo"), F.col("hi")))  # other runs have other anchors
+        .select(doc_key, *item, (F.col("p") - F.col("j")).alias("diff"), "at")
     )
+    hits = anchors.select(*item, F.col("r.j").alias("j"), F.col("r.term").alias("term")).distinct().join(index, "term").withColumn("diff", F.col("pos") - F.col("j"))
     # both readings of a text count as one; offsets are signed, and each place with the last one of the same term
     half = SECOND >> 1
     d = F.pmod(F.col("diff") + half, F.lit(SECOND)) - half
