@@ -116,6 +116,21 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_classes, p2_found, p2_leak_report, p2_near_matches, p3_token_budget, p3_record_tokens, p4_found, p4_scores, p4_rules, p5_found, p6_found, p6_splits, p6_split_report, p7_ids, p8_containers, p8_container_fill, p9_found, p9_composition)}
 
+#: The runs that records have in common.
+_RUNS = r"""
+with w as (select record_id, regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}_]+') as w from rfc4136 where extracted_text is not null),
+s as (select distinct record_id, unnest(list_transform(range(1, len(w) - 1), lambda i: md5(array_to_string(w[i:i+2], ' ')))) as s from w where len(w) >= 20),
+n as (select record_id, count(*) as n from s group by record_id),
+c as (select a.record_id as a, b.record_id as b, count(*) as c from s a join s b on a.s = b.s and a.record_id < b.record_id group by all)"""
+#: Both readings of documents and items as words; ligatures and full-width letters stand for the compatibility forms, which this engine lacks.
+_WORDS = r"""
+with t as (select doc_id::varchar as k, text as x from documents where text is not null union all
+  select 'i' || id, coalesce(prompt, '') || ' ' || coalesce(expected_continuation, '') from domain_exact_generation_queries union all select distinct 'i' || pair_id, response from evaluation where response is not null),
+v as (select k, regexp_replace(x, '([\p{L}\p{N}_])[-‐\x{AD}][\x{AD}\x{200B}-\x{200D}\x{FEFF}]*[ \t]*\r?\n[ \t\r\n>|]*([\p{L}\p{N}_])', '\1\2', 'g') as joined, regexp_replace(x, '([\p{L}\p{N}_])\x{AD}[ \t]*\r?\n[ \t\r\n>|]*([\p{L}\p{N}_])', '\1\2', 'g') as kept from t),
+b as (select k, 0 as v, joined as x from v union all select k, 1, kept from v where kept <> joined),
+l as (select k, v, regexp_extract_all(lower(translate(replace(replace(replace(replace(replace(regexp_replace(x, '[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE0F}\x{FEFF}]', '', 'g'),
+  'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789')), '[\p{L}\p{N}]+') as w from b),"""
+
 #: The documents that queries name, and all queries that these connect each with.
 _NAMED = r"""
 with recursive q as (select id, source_document as x from domain_exact_generation_queries where source_document is not null union all select id, source_file from domain_exact_generation_queries where source_file is not null),
@@ -134,22 +149,25 @@ a as (select id, component, arg_min(split_name, upto) as split_name from (select
 
 #: Where SQL can say what a query finds, whatever way the operator takes.
 SQL: dict[str, str] = {
-    "p1_found": r"""
-with w as (select record_id, regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}_]+') as w from rfc4136 where extracted_text is not null),
-s as (select distinct record_id, unnest(list_transform(range(1, len(w) - 1), lambda i: md5(array_to_string(w[i:i+2], ' ')))) as s from w where len(w) >= 20),
-n as (select record_id, count(*) as n from s group by record_id),
-c as (select a.record_id as a, b.record_id as b, count(*) as c from s a join s b on a.s = b.s and a.record_id < b.record_id group by all)
+    "p1_found": _RUNS + """
 select a as record_id_a, b as record_id_b from c join n x on x.record_id = a join n y on y.record_id = b where c >= 0.7 * (x.n + y.n - c)""",
-    # ligatures and full-width letters stand for the compatibility forms, which this engine lacks
-    "p2_found": r"""
-with t as (select doc_id::varchar as k, text as x from documents where text is not null union all
-  select 'i' || id, coalesce(prompt, '') || ' ' || coalesce(expected_continuation, '') from domain_exact_generation_queries union all select distinct 'i' || pair_id, response from evaluation where response is not null),
-b as (select k, regexp_replace(x, '([\p{L}\p{N}_])[-‐\x{AD}][\x{AD}\x{200B}-\x{200D}\x{FEFF}]*[ \t]*\r?\n[ \t\r\n>|]*([\p{L}\p{N}_])', '\1\2', 'g') as x from t union
-  select k, regexp_replace(x, '([\p{L}\p{N}_])\x{AD}[ \t]*\r?\n[ \t\r\n>|]*([\p{L}\p{N}_])', '\1\2', 'g') from t),
-l as (select k, regexp_extract_all(lower(translate(replace(replace(replace(replace(replace(regexp_replace(x, '[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE0F}\x{FEFF}]', '', 'g'),
-  'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789')), '[\p{L}\p{N}]+') as w from b),
+    "p1_classes": _RUNS.replace("with w", "with recursive w", 1) + """,
+l as (select a as record_id_a, b as record_id_b from c join n x on x.record_id = a join n y on y.record_id = b where c >= 0.7 * (x.n + y.n - c)),
+e as (select record_id_a as x, record_id_b as y from l union all select record_id_b, record_id_a from l),
+t as (select x, y from e union select t.x, e.y from t join e on e.x = t.y),
+k as (select n.record_id, least(n.record_id, coalesce(min(t.y), n.record_id)) as class_id from n left join t on t.x = n.record_id group by n.record_id)
+select record_id, class_id, count(*) over (partition by class_id) as class_size, (select count(*) from e where e.x = k.record_id) as links from k""",
+    "p2_found": _WORDS + """
 g as (select distinct k, unnest(list_transform(range(1, len(w) - 8), lambda i: md5(array_to_string(w[i:i+9], ' ')))) as g from l where len(w) >= 10)
 select distinct d.k::bigint as doc_id, i.k[2:] as item_id from g d join g i using (g) where i.k[1:1] = 'i' and d.k[1:1] <> 'i'""",
+    "p2_leak_report": _WORDS + """
+g as (select k, v, unnest(list_transform(range(1, len(w) - 8), lambda i: struct_pack(p := i - 1, g := md5(array_to_string(w[i:i+9], ' '))))) as g from l where len(w) >= 10),
+m as (select d.k::bigint as doc_id, i.k[2:] as item_id, i.v as iv, d.v as dv, d.g.p - i.g.p as diff, i.g.p as pos from g d join g i on d.g.g = i.g.g where i.k[1:1] = 'i' and d.k[1:1] <> 'i'),
+r as (select *, pos - row_number() over (partition by doc_id, item_id, iv, dv, diff order by pos) as island from m),
+n as (select doc_id, item_id, max(n) + 9 as longest from (select doc_id, item_id, count(*) as n from r group by doc_id, item_id, iv, dv, diff, island) group by all),
+c as (select doc_id, item_id, count(distinct (iv, pos + o)) as covered from m, (select unnest(range(10)) as o) group by all),
+z as (select k[2:] as item_id, max(len(w))::bigint as words from l where k[1:1] = 'i' and v = 0 group by 1)
+select doc_id, item_id, longest, covered, words from n join c using (doc_id, item_id) join z using (item_id)""",
     "p4_found": r"""
 with r as (select row_number() over () as i, response_id, regexp_extract_all(lower(response), '\p{L}+') as w from (select distinct response_id, response from model_responses where response is not null)),
 g as (select i, unnest(range(1, len(w) - 2)) as p, w from r where len(w) >= 12),

@@ -13,12 +13,15 @@ from loam.functions.labels import label, language
 from loam.llm import bpe
 from loam.session import map_arrow, written
 
+#: Most pieces whose lengths are broadcast, and postings that such a piece has at least.
+FREQUENT, MANY = 5000, 1000
+
 
 def piece_postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(piece, keys, times): for each block of rows, in which rows a piece stands and how often.
 
     A block is what one Arrow batch holds, so a piece that stands in every
-    text has one row per block, not one per text: no key of the later join is hot.
+    text has one row per block, not one per text.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -47,32 +50,47 @@ def piece_postings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def piece_lengths(pieces: DataFrame, path: str | None = None) -> DataFrame:
-    """(piece, n_ids): each distinct piece merged once."""
+    """(piece, blocks, n_ids): each distinct piece merged once; ``blocks`` is in how many rows of ``pieces`` it stands."""
     data = bpe.vocabulary(pieces.sparkSession, path or bpe.tokenizer_path())
 
     def run(batches):
         enc = bpe.encoder(data.value)
         for batch in batches:
             n = np.fromiter((len(enc[p]) for p in batch.column(0).to_pylist()), np.int32, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["piece", "n_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=["piece", "blocks", "n_ids"])
 
-    return map_arrow(pieces.select("piece").distinct(), run, "piece string, n_ids int")
+    return map_arrow(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("blocks")), run, "piece string, blocks bigint, n_ids int")
 
 
-def document_tokens(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """(key, n_tokens): the sum over a text's pieces of times x ids.
+def _counted(df: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
+    """(key, n_tokens) of the texts that have pieces.
 
-    ``key`` is unique and not null. Rows whose text is null or empty have 0.
+    Lengths of pieces that stand in more than MANY postings and the FREQUENTth part of all are broadcast (so at most FREQUENT of them), and their
+    postings, which list nearly every text, are spread over the join's partitions; all others are joined by piece.
     """
     postings = written(piece_postings(df, key, text))
-    lengths = piece_lengths(postings, path)
-    each = (
-        postings.join(lengths, "piece")
-        .select("n_ids", F.explode(F.arrays_zip("keys", "times")).alias("p"))
+    lengths = written(piece_lengths(postings, path))
+    total = lengths.agg(F.sum("blocks")).first()[0] or 0
+    many = F.col("blocks") > max(MANY, total // FREQUENT)
+    frequent = lengths.where(many).select("piece", F.col("n_ids").alias("n1"))
+    rest = lengths.where(~many).select(F.col("piece").alias("at"), F.col("n_ids").alias("n2"))
+    spread = F.concat(F.col("piece"), F.lit("\0"), F.xxhash64(F.col("keys")[0]).cast("string"))
+    return (
+        postings.join(F.broadcast(frequent), "piece", "left")
+        .withColumn("at", F.when(F.col("n1").isNull(), F.col("piece")).otherwise(spread))
+        .join(rest, "at", "left")
+        .select(F.coalesce("n2", "n1").alias("n_ids"), F.explode(F.arrays_zip("keys", "times")).alias("p"))
         .groupBy(F.col("p.keys").alias(key))
         .agg(F.sum(F.col("n_ids") * F.col("p.times")).alias("n_tokens"))
     )
-    return df.select(key).join(each, key, "left").select(key, F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
+def document_tokens(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(key, n_tokens): the sum over a text's pieces of times x ids.
+
+    ``key`` is unique and not null. Rows whose text is null or empty have 0.
+    """
+    return df.select(key).join(_counted(df, key, text, path), key, "left").select(key, F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
 
 
 def token_budget(df: DataFrame, key: str, text: str, source: str, lang: str, domain: str, path: str | None = None) -> DataFrame:
@@ -82,14 +100,13 @@ def token_budget(df: DataFrame, key: str, text: str, source: str, lang: str, dom
     are brought to one form first; null and blank labels count as 'unknown'.  In a
     total over all values of a label that label is '*'. An empty table gives no rows.
     """
-    counted = document_tokens(df, key, text, path)
     rows = df.select(
         key,
         label(source).alias("source_corpus"),
         language(lang).alias("lang"),
         label(domain).alias("domain"),
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"),
-    ).join(counted, key)
+    ).join(_counted(df, key, text, path), key, "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("bigint"))
     finest = rows.groupBy("source_corpus", "lang", "domain").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("n_tokens") == 0).alias("empty_records"),

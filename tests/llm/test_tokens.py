@@ -73,6 +73,21 @@ def test_budget_counts_each_token(spark):
     assert tokens.token_budget(docs.limit(0), "doc_id", "text", "source", "lang", "domain").count() == 0
 
 
+@pytest.mark.parametrize("many", [1000, 0])
+def test_budget_of_a_whole_table(spark, monkeypatch, many):
+    """Every record of sf0.01 against the public tokenizer, with lengths of frequent pieces joined or broadcast."""
+    monkeypatch.setattr(tokens, "MANY", many)
+    df = spark.read.parquet("/root/testdata/sf0.01/rfc4136.parquet")
+    each = {r.record_id: r.n_tokens for r in tokens.document_tokens(df, "record_id", "extracted_text").collect()}
+    want = {r.record_id: len(REF.encode(r.extracted_text or "", add_special_tokens=False).ids) for r in df.collect()}
+    assert each == want
+    rows = tokens.token_budget(df, "record_id", "extracted_text", "source_corpus", "lang", "domain").collect()
+    for part in ("source+lang+domain", "source", "lang", "domain", "all"):
+        own = [r for r in rows if r.slice == part]
+        assert sum(r.n_tokens for r in own) == sum(want.values()) and sum(r.records for r in own) == len(want)
+        assert sum(r.empty_records for r in own) == sum(n == 0 for n in want.values())
+
+
 def stepwise(counts, capacity):
     """Best-two-fit, one container at a time."""
     left, out = sorted(s for s, n in counts.items() for _ in range(n)), []
