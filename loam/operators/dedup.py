@@ -162,24 +162,23 @@ def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = 0.85,
     return common.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy_keep(nodes: DataFrame, key: str, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def greedy_keep(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """(key, kept): going through the keys in order, one is kept if no smaller kept key is its neighbour.
 
     ``edges`` has a < b.  All that is decided at once is decided in one round, so
-    the rounds follow the longest chain of neighbours, not the number of keys.
+    the rounds follow the longest chain of neighbours, not the number of keys.  Each round decides the
+    smallest open key at least, so the rounds end by themselves.
     """
     state = written(nodes.select(F.col(key).alias("k"), F.lit(None).cast("boolean").alias("kept")))
     edges = written(edges.select("a", "b").distinct())
-    for _ in range(most_rounds):
+    while state.where("kept is null").limit(1).count():
         ahead = (
             edges.join(state.select(F.col("k").alias("a"), F.col("kept").alias("ka")), "a")
             .groupBy("b")
             .agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("beaten"), F.bool_or(F.col("ka").isNull()).alias("open"))
         )
         verdict = F.when(F.coalesce("beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        state = written(state.join(ahead, state.k == ahead.b, "left").select("k", F.coalesce("kept", verdict).alias("kept")))
-        if not state.where("kept is null").limit(1).count():
-            break
+        state = written(state.join(ahead, state.k == ahead.b, "left").select("k", F.coalesce("kept", verdict).alias("kept")), instead_of=state)
     return state.select(F.col("k").alias(key), "kept")
 
 
@@ -198,7 +197,7 @@ def two_key_dedup(pairs: DataFrame, order: list, left: Column, right: Column) ->
         first_r = rest.groupBy("_r").agg(F.min("_o").alias("or_"))
         won = written(rest.join(first_l, "_l").join(first_r, "_r").where((F.col("_o") == F.col("ol")) & (F.col("_o") == F.col("or_"))).select("_id", "_l", "_r"))
         kept = won.select("_id") if kept is None else kept.unionByName(won.select("_id"))
-        rest = written(rest.join(won.select("_l"), "_l", "left_anti").join(won.select("_r"), "_r", "left_anti"))
+        rest = written(rest.join(won.select("_l"), "_l", "left_anti").join(won.select("_r"), "_r", "left_anti"), instead_of=rest)
         if not rest.limit(1).count():
             break
     return x.join(kept, "_id", "left_semi").drop("_l", "_r", "_o", "_id")

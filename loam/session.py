@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,48 +47,64 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(at))
 
 
+#: Folders of applications on one machine that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    It is the session's ``spark.checkpoint.dir``; a folder of this machine is
-    set only where that is unset, as in tests.
+    Where neither is set a folder of this machine is used if the master is local (as in tests);
+    on a cluster that is an error, for executors would write to disks of their own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined() and sc.applicationId not in _own:
+        named = sc._jsc.sc().getCheckpointDir().get()
     if not named:
-        named = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loam-")
-        sc.setCheckpointDir(named)
-        spark.conf.set("loam.checkpoint.dir", named)
-    return named
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and on {sc.master} no folder of one machine will do")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loam-")
+            sc.setCheckpointDir(_own[sc.applicationId])
+        named = _own[sc.applicationId]
+    return named.rstrip("/")
 
 
-def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, partitions: int | None = None, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again.
 
     The result has no lineage, survives lost executors, and is compressed.
-    The files go when the driver's process ends.
+    The files go when the driver's process ends; those of ``instead_of``, a result of this function
+    that nothing needs any more, go at once.
     """
     spark = df.sparkSession
     ship(spark)
-    local = spark.conf.get("loam.checkpoint.dir", None)
-    path = f"{(local or shared_dir(spark)).rstrip('/')}/loam-{os.getpid()}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loam-{os.getpid()}-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loam_path = path
+    old = getattr(instead_of, "_loam_path", None)
+    if old in _written:
+        _delete(_written.pop(old), old)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may already have ended
+        pass
 
 
 def forget() -> None:
     """Deletes the tables of :func:`written`."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may already have ended
-            pass
+        path, spark = _written.popitem()
+        _delete(spark, path)
 
 
 atexit.register(forget)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.session import shared_dir
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -14,8 +15,12 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 def ingest(spark: SparkSession, root: str, manifest: str, pattern: str = "*.txt", checkpoint: str | None = None, once: bool = True):
     """Reads files that arrive under ``root`` into the Parquet table ``manifest`` (path, md5, text); contents that it holds already are skipped.
 
-    Each micro-batch is joined against the manifest, so a replayed batch adds nothing twice.
+    Each micro-batch is joined against the manifest, so a replayed batch adds nothing twice.  The stream's
+    checkpoint lies beside the manifest unless another place is given, under a name that follows from both
+    paths, so that a later process goes on where an earlier one stopped.
     """
+    if checkpoint is None:
+        checkpoint = f"{manifest.rstrip('/')}-checkpoint-{hashlib.sha256(repr((root, manifest)).encode()).hexdigest()[:16]}"
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     rows = files.select("path", F.md5("content").alias("md5"), T.canonical(T.strip_bom(F.col("content").cast("string"))).alias("text"))
 
@@ -29,7 +34,7 @@ def ingest(spark: SparkSession, root: str, manifest: str, pattern: str = "*.txt"
                 raise
         fresh.select("path", "md5", "text").write.mode("append").parquet(manifest)
 
-    w = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/ingest-{abs(hash((root, manifest)))}")
+    w = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 

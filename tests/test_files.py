@@ -1,9 +1,14 @@
 """Files, sinks and streams: exact round trips."""
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from loam import session
 from loam.functions import text as T
 from loam.sources import files, sinks
 from loam.streaming import ingest
@@ -89,6 +94,49 @@ def test_ingest_twice(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "m")).collect()) == ["one", "two"]
 
 
+def test_ingest_goes_on_in_another_process(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("one")
+    program = (
+        "import sys; from loam.session import local_session; from loam.streaming.ingest import ingest; s = local_session(2, 2, '1g');"
+        "q = ingest(s, sys.argv[1], sys.argv[2]); q.awaitTermination(); print('rows', sum(p['numInputRows'] for p in q.recentProgress))"
+    )
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "m")).awaitTermination()
+    (tmp_path / "in/b.txt").write_text("two")
+    run = subprocess.run([sys.executable, "-c", program, str(tmp_path / "in"), str(tmp_path / "m")], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parent.parent)
+    assert "rows 1\n" in run.stdout, run.stderr[-2000:]
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "m")).collect()) == ["one", "two"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    assert session.shared_dir(spark) == session.shared_dir(spark)
+    made = session.written(spark.range(3))
+    path = made._loam_path.removeprefix("file://")
+    assert Path(path).exists()
+    after = session.written(made.where("id > 0"), instead_of=made)
+    assert not Path(path).exists() and after.count() == 2
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app-1"
+            getConf = staticmethod(lambda: {})
+
+            class _jsc:  # noqa: N801
+                class Context:
+                    class Nothing:
+                        isDefined = staticmethod(lambda: False)
+
+                    getCheckpointDir = staticmethod(lambda: Cluster.sparkContext._jsc.Context.Nothing)
+
+                sc = staticmethod(lambda: Cluster.sparkContext._jsc.Context)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster)
+
+
 def test_stream_windows_equal_batch(spark, tmp_path, rows):
     src = spark.createDataFrame([(i, f"2026-01-01 0{i % 5}:10:00", float(i)) for i in range(20)], "k bigint, ts string, value double").withColumn("ts", F.to_timestamp("ts")).withColumn("kind", F.lit("x"))
     src.write.parquet(str(tmp_path / "e"))

@@ -126,6 +126,15 @@ def test_components(spark, rows):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_long_chains_end(spark):
+    """No round is the last before everything is decided."""
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+    short = chain.where("a < 24")
+    got = dedup.greedy_keep(spark.range(25), "id", short).collect()
+    assert {r.id for r in got if r.kept} == set(range(0, 25, 2)) and len(got) == 25
+
+
 def test_held_out_size(spark):
     for n, want in ((25, 2), (35, 4), (2, 1)):
         assert one(spark, n, lambda c: splits.held_out_size(c, 10), "bigint") == want
