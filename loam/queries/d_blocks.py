@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -89,9 +90,8 @@ select doc_id, pos, row_number() over (partition by doc_id, key order by pos)::i
 def duplicate_blocks(spark, d):
     """Long blocks that stood before in the same document."""
     keys = F.transform(F.filter(F.transform(F.split("text", f"\n[{T.WS}]*\n"), T.strip), lambda b: b != ""), lambda b: F.lower(T.squeeze(b)))
-    x = _docs(spark, d).select("doc_id", keys.alias("ks")).select("doc_id", "ks", F.posexplode("ks").alias("pos", "key")).where(F.length("key") >= 120)
-    nth = F.size(F.filter(F.slice("ks", 1, F.col("pos") + 1), lambda k: k == F.col("key")))
-    return x.select("doc_id", "pos", nth.alias("nth")).where("nth > 1")
+    x = _docs(spark, d).select("doc_id", F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= 120).select("doc_id", "pos", F.sha2("key", 256).alias("digest"))
+    return x.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("pos"))).where("nth > 1").select("doc_id", "pos", "nth")
 
 
 _HEAD = rf"""s <> '' and length(s) <= 110 and not regexp_matches(s, '[.,;?!]$') and len(w) between 1 and 14 and (regexp_matches(s, '^(?:CHAPTER|Chapter|Appendix|Preface|Overview)\b')
