@@ -122,11 +122,25 @@ def pair_selection(spark, d):
     return S.round_robin(S.cap_per_group(kept, "source", ["order", F.lower("instruction"), "doc_id"], 10), "source", 200).select("doc_id", "pos", "instruction", "source", "rank")
 
 
-@query()
+_SIGNS = " or ".join("(" + " and ".join(f"len(regexp_extract_all(lower(answer), '{p}')) >= {n}" for p, n in group) + ")" for group in I.CONTENTS_SIGNS)
+_ASKED = " ".join(f"when starts_with(lower(h), '{p}') then '{t.split('{}')[0]}' || {_STRIP(f'h[{len(p) + 1}:]')} || '{t.split('{}')[1]}'" for p, t in I.LINE_QUESTIONS)
+
+
+@query(
+    rf"""with l as (select doc_id, list_transform(string_split('Configuring the ' || coalesce(source, 'none') || ' network' || chr(10) || text, chr(10)), lambda v: {_STRIP('v')}) as v from documents where text is not null),
+h as (select doc_id, v, list_filter(range(1, len(v) + 1), lambda i: regexp_matches(v[i], '{I.LINE_HEADING}')) as hs from l),
+s as (select doc_id, unnest(list_transform(range(1, len(hs) + 1), lambda n: struct_pack(n := n, head := v[hs[n]], body := v[hs[n] + 1:coalesce(hs[n + 1], len(v) + 1) - 1]))) as s from h),
+o as (select doc_id, s.n as n, s.head as head, s.body[list_position(list_transform(s.body, lambda x: x <> ''), true):] as own from s where list_contains(list_transform(s.body, lambda x: x <> ''), true)),
+r as (select doc_id, n, head, own[1:coalesce(nullif(list_position(own, ''), 0) - 1, len(own))] as run from o),
+a as (select doc_id, n, head, trim(regexp_replace(list_reduce(run, lambda x, y: case when length(x) < 900 then x || ' ' || y else x end), '[{WS}]+', ' ', 'g'), ' ') as answer from r),
+g as (select *, {_STRIP("regexp_replace(head, ':+$', '')")} as h from a where length(head) between 8 and 90 and length(answer) >= 120 and not ({_SIGNS}) and length(answer) - length(replace(answer, ' ', '')) >= 0.10 * length(answer))
+select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as pos,
+  case {_ASKED} when starts_with(lower(h), 'verifying') or starts_with(lower(h), 'monitoring') then 'How do I ' || lower(h[1]) || h[2:] || '?' else 'Explain the following Cisco topic: ' || h end as instruction, md5(answer[1:900]) as response_md5 from g"""
+)
 def line_pairs(spark, d):
-    """Questions from lines that begin a section (no SQL: bodies end by length and by what follows)."""
+    """Questions from lines that begin a section, with what follows them."""
     x = read(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Configuring the "), F.coalesce("source", F.lit("none")), F.lit(" network\n"), "text").alias("text"))
-    return I.extract_line_pairs(x, "doc_id", "text").select("doc_id", "pos", "instruction", F.md5("response").alias("response_md5"))
+    return I.line_pairs(x, "doc_id", "text").select("doc_id", "pos", "instruction", F.md5("response").alias("response_md5"))
 
 
 @query(f"with t as (select doc_id, {_COMPACT('text')} as t from documents where text is not null), p as (select doc_id, t, position('the ' in t) as a from t), q as (select *, position(' faster' in t[a+4:]) as b from p where a > 0), r as (select doc_id, trim(t[a:a+b+2], ' -') as passage from q where b > 0) select doc_id, md5(passage) as passage_md5 from r where length(passage) between 180 and 2800")
