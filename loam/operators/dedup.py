@@ -14,6 +14,8 @@ from loam.operators.grouping import first_rows, ranked, with_group_values
 from loam.session import map_arrow, written
 
 PRIME = 4294967291
+#: Texts from which a band of signatures pairs nothing.
+HOT = 1000
 
 
 def first_occurrences(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -120,26 +122,63 @@ def signatures(docs: DataFrame, key: str, text: str, permutations: int = 128, n:
     return map_arrow(rows, run, f"`{key}` {kind}, signature array<bigint>")
 
 
-def candidate_pairs(signed: DataFrame, key: str, bands: Column) -> DataFrame:
-    """(a, b), a < b: equal in at least one of ``bands`` parts, as equal as can be, that the signature is cut into."""
+def bands_of(signed: DataFrame, key: str, bands: Column) -> DataFrame:
+    """(a, band): ``bands`` parts, as equal as can be, that each signature is cut into."""
     start = lambda i: F.floor(i * F.size("signature") / bands).cast("int")
     band = F.explode(F.transform(F.sequence(F.lit(0), bands - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", start(i) + 1, start(i + 1) - start(i))).alias("h"))))
-    x = signed.select(F.col(key).alias("a"), band.alias("band"))
-    y = x.select(F.col("a").alias("b"), "band")
-    return x.join(y, "band").where("a < b").select("a", "b").distinct()
+    return signed.select(F.col(key).alias("a"), band.alias("band"))
 
 
-def similar_pairs(signed: DataFrame, key: str, threshold: float = 0.85) -> DataFrame:
+def rarest_places(signed: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b), a < b: a superset of all pairs of signatures that agree by the threshold.
+
+    Signatures are sets of (place, minimum).  Two that agree so much have one in common among the
+    n - ceil(threshold n) + 1 rarest of either; what a notice that many texts share puts into signatures is rare in none.
+    """
+    each = signed.select(F.col(key).alias("a"), F.size("signature").alias("n"), F.posexplode("signature").alias("i", "m")).select("a", "n", F.xxhash64("i", "m").alias("h"))
+    each = with_group_values(each, "h", "a", texts=F.count(F.lit(1)))
+    order = each.groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("hs"))  # as many as a signature has places
+    first = order.select("a", F.explode(F.slice("hs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("r"))
+    index = written(first.where("r.texts > 1").select("a", F.col("r.h").alias("h")))
+    return index.join(index.withColumnRenamed("a", "b"), "h").where("a < b").select("a", "b").distinct()
+
+
+def candidate_pairs(signed: DataFrame, key: str, threshold: float, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: a superset of all pairs of distinct signatures that agree by the threshold.
+
+    Such signatures differ in at most k places, so of k + 1 bands one at least is equal.  A band of more
+    than ``hot`` texts pairs nothing; its texts are compared by :func:`rarest_places`.
+    """
+    bands = F.least(F.size("signature"), F.size("signature") - F.ceil(F.size("signature") * threshold - 1e-9) + 1).cast("int")
+    each = bands_of(signed, key, bands)
+    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")  # most bands have one text
+    known = written(each.join(shared, "band"))
+    x = known.where(F.col("m") <= hot).select("a", "band")
+    pairs = x.join(x.withColumnRenamed("a", "b"), "band").where("a < b").select("a", "b")
+    crowded = known.where(F.col("m") > hot).select(F.col("a").alias(key)).distinct()
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(rarest_places(signed.join(crowded, key, "left_semi"), key, threshold))
+    return pairs.distinct()
+
+
+def similar_pairs(signed: DataFrame, key: str, threshold: float = 0.85, hot: int = HOT) -> DataFrame:
     """(a, b, similarity): all pairs whose signatures agree in at least that share of places.
 
-    Two such signatures differ in at most k places, so of k + 1 bands one at least is equal: no pair is lost.
+    Equal signatures are one class, of which the smallest key is compared; the pairs of classes
+    are given for all their members in the end.
     """
-    signed = written(signed)  # read three times
-    one = signed.select(F.col(key).alias("a"), F.col("signature").alias("sa"))
-    two = signed.select(F.col(key).alias("b"), F.col("signature").alias("sb"))
+    signed = written(signed.withColumn("_c", F.sha2(F.array_join("signature", ","), 256)))
+    classes = written(signed.groupBy("_c").agg(F.min(key).alias("_rep")))
+    members = signed.select(F.col(key).alias("k"), "_c").join(classes, "_c").select("_rep", "k")
+    reps = signed.join(classes.select(F.col("_rep").alias(key)), key, "left_semi")
+    one = reps.select(F.col(key).alias("a"), F.col("signature").alias("sa"))
+    two = reps.select(F.col(key).alias("b"), F.col("signature").alias("sb"))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda v: v)) / F.size("sa")
-    bands = F.least(F.size("signature"), F.size("signature") - F.ceil(F.size("signature") * threshold - 1e-9) + 1).cast("int")
-    return candidate_pairs(signed, key, bands).join(one, "a").join(two, "b").select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold)
+    linked = candidate_pairs(reps, key, threshold, hot).join(one, "a").join(two, "b").select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold)
+    left, right = members.select(F.col("_rep").alias("a"), F.col("k").alias("x")), members.select(F.col("_rep").alias("b"), F.col("k").alias("y"))
+    across = linked.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    copies = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(copies)
 
 
 def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = 0.85, n: int = 3) -> DataFrame:

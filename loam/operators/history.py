@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators.grouping import first_rows, ranked
+from loam.session import map_arrow
 
 
 def tumbling_means(df: DataFrame, series: str, order: list[str], value: str, size: int) -> DataFrame:
@@ -20,23 +22,39 @@ def plateau(windows: DataFrame, series: str, threshold: float = 0.01, patience:
     """(series, windows, best, plateau_start): the first of ``patience`` windows in a row that do not improve the best mean by the threshold.
 
     The best only changes when it is beaten by the threshold, so a running minimum is not the
-    same; the ordered means of a series are folded in one expression.
+    same: each series passes in order through a task, which keeps its state and no windows.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("window", "start", "mean")))
-    inf = F.lit(float("inf"))
-
-    def step(acc, w):
-        better = F.when(acc["best"] == inf, F.lit(True)).otherwise((acc["best"] - w["mean"]) / acc["best"] >= threshold)
-        stale = F.when(better, 0).otherwise(acc["stale"] + 1)
-        run = F.when(better, F.lit(None).cast("bigint")).otherwise(F.coalesce(acc["run"], w["start"]))
-        # the window that began the last ``patience`` stale ones
-        hit = F.coalesce(acc["hit"], F.when(stale >= patience, acc["back"][patience - 2] if patience > 1 else w["start"]))
-        back = F.slice(F.concat(F.array(w["start"]), acc["back"]), 1, max(patience, 2))
-        return F.struct(F.when(better, w["mean"]).otherwise(acc["best"]).alias("best"), stale.alias("stale"), run.alias("run"), hit.alias("hit"), back.alias("back"))
-
-    start = F.struct(inf.alias("best"), F.lit(0).alias("stale"), F.lit(None).cast("bigint").alias("run"), F.lit(None).cast("bigint").alias("hit"), F.array().cast("array<bigint>").alias("back"))
-    x = windows.groupBy(series).agg(ordered.alias("_w"))
-    return x.select(series, F.size("_w").cast("bigint").alias("windows"), F.aggregate("_w", start, step).alias("_f")).select(series, "windows", F.col("_f.best").alias("best"), F.col("_f.hit").alias("plateau_start"))
+
+    def run(batches):
+        now, n, best, stale, back, hit = None, 0, None, 0, [], None
+        out: list[tuple] = []
+        for batch in batches:
+            for name, start, mean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if n and name != now:
+                    out.append((now, n, best, hit))
+                    n = 0
+                if not n:
+                    now, best, stale, back, hit = name, None, 0, [], None
+                n += 1
+                back = [*back[-(patience - 1) :], start] if patience > 1 else [start]
+                if best is None or (best - mean) / best >= threshold:
+                    best, stale = mean, 0
+                else:
+                    stale += 1
+                    hit = back[0] if hit is None and stale >= patience else hit
+            yield _plateaus(out)
+            out = []
+        if n:
+            yield _plateaus([(now, n, best, hit)])
+
+    kind = pa.schema([(series, pa.string()), ("windows", pa.int64()), ("best", pa.float64()), ("plateau_start", pa.int64())])
+
+    def _plateaus(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind.field(i).type) for i in range(4)], schema=kind)
+
+    name = windows.schema[series].dataType.simpleString()
+    ordered = windows.where(F.col(series).isNotNull()).select(F.col(series).cast("string").alias(series), "window", F.col("start").cast("bigint").alias("start"), F.col("mean").cast("double").alias("mean")).repartition(series).sortWithinPartitions(series, "window").select(series, "start", "mean")
+    return map_arrow(ordered, run, f"`{series}` string, windows bigint, best double, plateau_start bigint").withColumn(series, F.col(series).cast(name))
 
 
 def trailing_change(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.matching import only_fragment
 
 
 def phrase(c: Column) -> Column:
@@ -212,12 +213,8 @@ def first_filled(*columns: str) -> Column:
 
 
 def resolve_by_name(left: DataFrame, name: str, right: DataFrame, stem: str, key: str) -> DataFrame:
-    """(key, stem): rows whose name contains exactly one stem; none or several give no row.
-
-    ``right`` is a list of files of bounded size, and is broadcast.
-    """
-    hit = left.select(key, name).join(F.broadcast(right.select(stem)), F.col(name).contains(F.col(stem)))
-    return hit.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(stem).alias(stem)).where("n = 1").drop("n")
+    """(key, stem): rows whose name contains exactly one stem; none or several give no row."""
+    return only_fragment(left, key, name, right, stem)
 
 
 def retention_verdict(base: Column, new: Column) -> Column:

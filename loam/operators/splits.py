@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators.grouping import first_k, ranked
+from loam.session import map_arrow
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
@@ -72,25 +74,31 @@ def disjoint_report(split: DataFrame, key: str, content: Column) -> DataFrame:
     return sums.join(both(F.col(key)).withColumnRenamed("x", "shared_keys")).join(both(content).withColumnRenamed("x", "shared_contents"))
 
 
-def choose_sources(sizes: list[tuple[str, int]], held_target: int, train_target: int, preferred: tuple[str, ...] = (), seed: int = 42) -> list[str]:
-    """Sources for the held-out side: preferred ones first, then in hash order.
+def choose_sources(sizes: DataFrame, source: str, n: str, held_share: float, train_share: float, preferred: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """(source, position): sources for the held-out side: preferred ones first, then in hash order.
 
-    A source that would leave too little for training is skipped.  It ends when the target and
-    min(8, sources - 1) sources are reached.  ``sizes`` is one row a source, after capping.
+    ``sizes`` is one row a source, after capping.  A source that would leave less than ``train_share`` of all
+    rows for training is skipped.  It ends when ``held_share`` and min(8, sources - 1) sources are reached.  Each
+    skip depends on those before, so the sources pass one task in order, which keeps a few numbers only.
     """
-    import hashlib
-
-    size = dict(sizes)
-    order = [s for s in preferred if s in size]
-    order += sorted((s for s in size if s not in order), key=lambda s: hashlib.sha256(f"{seed}:{s}".encode()).hexdigest())
-    left, taken, chosen = sum(size.values()), 0, []
-    for s in order:
-        if left - size[s] >= train_target:
-            chosen.append(s)
-            taken, left = taken + size[s], left - size[s]
-            if taken >= held_target and len(chosen) >= min(8, len(size) - 1):
-                break
-    return chosen
+    total, count = sizes.agg(F.coalesce(F.sum(n), F.lit(0)), F.count(F.lit(1))).first()
+    held, train, least = int(total * held_share), total - int(total * (1 - train_share)), min(8, count - 1)
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, preferred)), F.col(source)), F.lit(0)), F.lit(len(preferred) + 1)) if preferred else F.lit(0)
+    ordered = sizes.select(source, F.col(n).cast("bigint").alias("n"), place.alias("_p"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col(source)), 256).alias("_h"))
+    ordered = ordered.repartition(1).sortWithinPartitions("_p", "_h").select(source, "n")
+
+    def run(batches):
+        left, taken, position = total, 0, 0
+        for batch in batches:
+            rows, at = [], []
+            for i, size in enumerate(batch.column(1).to_pylist()):
+                if left - size >= train and not (taken >= held and position >= least and position):
+                    rows.append(i)
+                    at.append(position)
+                    left, taken, position = left - size, taken + size, position + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32())], names=[source, "position"])
+
+    return map_arrow(ordered, run, f"`{source}` {sizes.schema[source].dataType.simpleString()}, position int")
 
 
 def cap_per_group(df: DataFrame, group: str, order: list, most: int) -> DataFrame:

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.matching import only_text
 
 
 def only_match(prompts: DataFrame, key: str, fragment: str, docs: DataFrame, ident: str) -> DataFrame:
-    """(key, ident): the one document whose identifier contains the prompt's fragment; none or several give no row.
-
-    Prompts are a fixed set of a few dozen rows and are broadcast.
-    """
-    hit = docs.select(ident).join(F.broadcast(prompts.select(key, fragment)), F.col(ident).contains(F.col(fragment)))
-    return hit.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(ident).alias(ident)).where("_n = 1").drop("_n")
+    """(key, ident): the one document whose identifier contains the prompt's fragment; none or several give no row."""
+    return only_text(prompts, key, fragment, docs, ident)
 
 
 def blinded(answers: DataFrame, key: str, base: str, new: str, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import dedup as D
+from loam.operators.grouping import first_rows
 from loam.queries import query
 from loam.queries.a_text import WS
 from loam.session import read
@@ -75,9 +76,7 @@ h as (select doc_id, ('0x' || md5(s)[1:8])::bigint as h from s),
 c as (select * from (values {_PERMS}) t(i, a, b)),
 m as (select doc_id, i, min((a::bigint * h + b::bigint) % {D.PRIME}) as m from h, c group by doc_id, i),
 sig as (select doc_id, array_agg(m order by i) as signature from m group by doc_id),
-bands as (select doc_id, floor(i / 16) as band, string_agg(m::varchar, ',' order by i) as v from m group by doc_id, floor(i / 16)),
-cand as (select distinct x.doc_id as a, y.doc_id as b from bands x join bands y on x.band = y.band and x.v = y.v and x.doc_id < y.doc_id),
-agree as (select a, b, count(*) filter (x.m = y.m) / 128.0 as similarity from cand join m x on x.doc_id = a join m y on y.doc_id = b and x.i = y.i group by a, b)
+agree as (select x.doc_id as a, y.doc_id as b, count(*) / 128.0 as similarity from m x join m y on x.i = y.i and x.m = y.m and x.doc_id < y.doc_id group by all having count(*) >= 0.85 * 128)
 """
 
 
@@ -116,19 +115,14 @@ def near_dup_pairs_exact_jaccard(spark, d):
     return D.jaccard_pairs(_distinct(spark, d), "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
 
 
-_ROUNDS = """, e as (select a, b from agree where similarity >= 0.85), n0 as (select doc_id as k from sig),
-k1 as (select k from n0 where k not in (select b from e)),
-d1 as (select distinct b as k from e where a in (select k from k1)),
-k2 as (select k from k1 union select k from n0 where k not in (select k from d1) and k not in (select b from e where a not in (select k from d1))),
-d2 as (select distinct b as k from e where a in (select k from k2)),
-k3 as (select k from k2 union select k from n0 where k not in (select k from d2) and k not in (select b from e where a not in (select k from d2))),
-d3 as (select distinct b as k from e where a in (select k from k3)),
-k4 as (select k from k3 union select k from n0 where k not in (select k from d3) and k not in (select b from e where a not in (select k from d3))),
-d4 as (select distinct b as k from e where a in (select k from k4))
-select k as doc_id, k not in (select k from d4) as kept from n0"""
+#: One text after the other, in order of the key: dropped if it is close to one that is not.
+_IN_ORDER = """, e as (select b, list(a) as ahead, row_number() over (order by b) as n from agree where similarity >= 0.85 group by b),
+f as (select 0::bigint as n, []::bigint[] as dropped union all
+  select f.n + 1, case when len(list_filter(ahead, lambda a: not list_contains(dropped, a))) > 0 then list_append(dropped, b) else dropped end from f join e on e.n = f.n + 1)
+select doc_id, not list_contains((select arg_max(dropped, n) from f), doc_id) as kept from sig"""
 
 
-@query("with " + _SIGN + _ROUNDS)
+@query("with recursive " + _SIGN + _IN_ORDER)
 def near_dup_greedy(spark, d):
     """Near duplicates dropped in order of the key: one is dropped only for a kept one."""
     signed = _signed(spark, d)
@@ -140,13 +134,10 @@ def near_dup_greedy(spark, d):
 with recursive x as (select pair_id, instruction, response, trim(regexp_replace(lower(coalesce(instruction, '')), '[^a-z0-9]+', ' ', 'g'), ' ') as l,
   trim(regexp_replace(lower(coalesce(response, '')), '[^a-z0-9]+', ' ', 'g'), ' ') as r from (select distinct * from evaluation)),
 o as (select *, row_number() over (order by -length(coalesce(response, '')), pair_id) as n from (select * from x qualify row_number() over (partition by l, r order by -length(coalesce(response, '')), pair_id) = 1)),
-e as (select a.n as a, b.n as b from o a join o b on a.l = b.l and a.n < b.n union select a.n, b.n from o a join o b on a.r = b.r and a.n < b.n),
-k1 as (select n from o where n not in (select b from e)), d1 as (select distinct b as n from e where a in (select n from k1)),
-k2 as (select n from k1 union select n from o where n not in (select n from d1) and n not in (select b from e where a not in (select n from d1))), d2 as (select distinct b as n from e where a in (select n from k2)),
-k3 as (select n from k2 union select n from o where n not in (select n from d2) and n not in (select b from e where a not in (select n from d2))), d3 as (select distinct b as n from e where a in (select n from k3)),
-k4 as (select n from k3 union select n from o where n not in (select n from d3) and n not in (select b from e where a not in (select n from d3))), d4 as (select distinct b as n from e where a in (select n from k4)),
-k5 as (select n from k4 union select n from o where n not in (select n from d4) and n not in (select b from e where a not in (select n from d4)))
-select pair_id, l as instruction_key from o where n in (select n from k5)"""
+e as (select b, list(a) as ahead, row_number() over (order by b) as i from (select a.n as a, b.n as b from o a join o b on a.l = b.l and a.n < b.n union select a.n, b.n from o a join o b on a.r = b.r and a.n < b.n) group by b),
+f as (select 0::bigint as i, []::bigint[] as dropped union all
+  select f.i + 1, case when len(list_filter(ahead, lambda a: not list_contains(dropped, a))) > 0 then list_append(dropped, b) else dropped end from f join e on e.i = f.i + 1)
+select pair_id, l as instruction_key from o where not list_contains((select arg_max(dropped, i) from f), n)"""
 )
 def pair_dedup_two_keys(spark, d):
     """Pairs kept in order (longest response first) if neither the instruction nor the response is taken by a kept pair."""
@@ -155,10 +146,8 @@ def pair_dedup_two_keys(spark, d):
     return D.two_key_dedup(x, ["rank", "pair_id"], key("instruction"), key("response")).select("pair_id", key("instruction").alias("instruction_key"))
 
 
-@query("select pair_id, instruction from (select distinct pair_id, instruction from evaluation where instruction is not null and instruction <> '') qualify row_number() over (partition by lower(instruction) order by pair_id) = 1")
+@query("select pair_id, instruction from (select distinct pair_id, instruction from evaluation where instruction is not null and instruction <> '') qualify row_number() over (partition by lower(instruction) order by pair_id, instruction) = 1")
 def instruction_dedup(spark, d):
     """The first pair of each instruction, case aside."""
-    from pyspark.sql import Window
-
-    x = read(spark, d, "evaluation").select("pair_id", "instruction").where("instruction is not null and instruction <> ''").distinct()
-    return x.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("instruction")).orderBy("pair_id"))).where("n = 1").drop("n")
+    x = read(spark, d, "evaluation").select("pair_id", "instruction").where("instruction is not null and instruction <> ''")
+    return first_rows(x.withColumn("k", F.lower("instruction")), ["k"], [F.col("pair_id"), F.col("instruction")]).drop("k")

@@ -75,14 +75,18 @@ def round_robin_select(spark, d):
     return S.round_robin(S.cap_per_group(x, "source", ["k", "pair_id"], 3), "source", 60).select("pair_id", "source")
 
 
-@query()
+@query(
+    """with recursive x as (select distinct pair_id, coalesce(source, 'none') as source from evaluation), z as (select source, least(count(*), 10) as n from x group by source),
+t as (select sum(n)::bigint as total, count(*) as m from z), o as (select source, n, row_number() over (order by sha256('42:' || source)) as i from z),
+f as (select 0::bigint as i, total as rest, 0::bigint as taken, 0::bigint as k, false as go, false as done, null::varchar as source from t union all
+  select i, rest - case when go then n else 0 end, taken + case when go then n else 0 end, k + go::int, go, done or (go and taken + n >= total // 5 and k + 1 >= least(8, m - 1)), source
+  from (select o.i, f.rest, f.taken, f.k, f.done, o.n, o.source, t.total, t.m, not f.done and f.rest - o.n >= t.total - t.total // 4 as go from f join o on o.i = f.i + 1, t))
+select source, (k - 1)::int as position from f where go"""
+)
 def source_disjoint_eval(spark, d):
-    """Sources held out so that enough remains for training (no SQL: each skip depends on those before)."""
+    """Sources held out so that enough remains for training."""
     x = read(spark, d, "evaluation").select("pair_id", F.coalesce("source", F.lit("none")).alias("source")).distinct()
-    sizes = [(r.source, r.n) for r in x.groupBy("source").agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("n")).collect()]  # one row a source
-    total = sum(n for _, n in sizes)
-    chosen = S.choose_sources(sizes, total // 5, total - total // 4)
-    return spark.createDataFrame([(s, i) for i, s in enumerate(chosen)], "source string, position int")
+    return S.choose_sources(x.groupBy("source").agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("n")), "source", "n", 0.2, 0.75)
 
 
 @query("select pair_id from (select distinct pair_id from evaluation where coalesce(response, '') <> '') order by sha256('20042:' || pair_id), pair_id limit 50")

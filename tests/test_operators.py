@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import normal
 from loam.functions import text as T
-from loam.operators import blocks, dedup, gates, history, instruct, lines, packing, scoring, splits
+from loam.operators import blocks, dedup, gates, history, instruct, lines, matching, packing, scoring, splits
 from loam.operators.components import connected_components
 from loam.operators.grouping import first_k, first_rows, ranked, with_group_values
 from loam.plans import prepare
@@ -126,6 +126,27 @@ def test_components(spark, rows):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_all_pairs_of_signatures(spark, rows):
+    """Equal signatures, hot bands and pairs just at the threshold: every pair that agrees, whatever path finds it."""
+    rng = random.Random(4)
+    notice = [rng.randrange(1000) for _ in range(40)]
+    signed = []
+    for k in range(120):
+        own = [rng.randrange(10**6) for _ in range(64)]
+        if k % 3 == 0:
+            own[:40] = notice  # a third shares most places, and still does not agree by the threshold
+        signed.append((10 * k, list(own)))
+        if k % 4 == 0:
+            signed += [(10 * k + 1, list(own)), (10 * k + 2, [v if i >= k // 12 else -1 for i, v in enumerate(own)])]
+    want = sorted((a, b) for i, (a, x) in enumerate(signed) for b, y in signed[i + 1 :] if sum(p == q for p, q in zip(x, y)) >= 0.85 * 64)
+    df = spark.createDataFrame(signed, "id bigint, signature array<bigint>")
+    for hot in (1000, 5):
+        got = dedup.similar_pairs(df, "id", hot=hot)
+        assert sorted((r.a, r.b) for r in got.collect()) == want and len(want) > 60
+    few = dedup.candidate_pairs(df, "id", 0.85, hot=5)
+    assert few.count() < 3 * len(want)  # pairs through the notice would be 800 and more
+
+
 def test_long_chains_end(spark):
     """No round is the last before everything is decided."""
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
@@ -145,8 +166,20 @@ def test_largest_remainder(spark, rows):
     assert rows(splits.largest_remainder(sizes, "s", "n", 0.25)) == [("a", 6, 1), ("b", 4, 1)]
 
 
-def test_sources_skip_when_too_little_is_left():
-    assert splits.choose_sources([("a", 5), ("b", 1), ("c", 4)], 1, 6, ("a", "b")) == ["b"]
+def test_sources_skip_when_too_little_is_left(spark):
+    sizes = spark.createDataFrame([("a", 5), ("b", 1), ("c", 4)], "s string, n bigint")
+    # a would leave too little; after b the target is met, but two sources are wanted and c leaves too little
+    assert [tuple(r) for r in splits.choose_sources(sizes, "s", "n", 0.1, 0.6, ("a", "b")).collect()] == [("b", 0)]
+    assert splits.choose_sources(sizes.limit(0), "s", "n", 0.1, 0.6).count() == 0
+
+
+def test_fragments_joined_or_broadcast(spark, rows):
+    texts = spark.createDataFrame([("alpha_beta",), ("beta_gamma",), ("delta",), (None,), ("",), ("aab",)], "name string")
+    parts = spark.createDataFrame([("alpha",), ("beta",), ("gam",), ("a",), ("",), (None,), ("longer than any",)], "part string")
+    want = sorted((t, p) for t in ("alpha_beta", "beta_gamma", "delta", "aab") for p in ("alpha", "beta", "gam", "a") if p in t)
+    for small in (1000, 2):
+        assert rows(matching.containing(texts, "name", parts, "part", small)) == want
+    assert rows(matching.only_text(parts.withColumn("k", F.length("part")), "k", "part", texts, "name")) == [(3, "beta_gamma"), (5, "alpha_beta")]
 
 
 def test_packing(spark):
@@ -217,10 +250,21 @@ def test_full_examples_keep_the_response(spark, tmp_path):
     assert sorted(r.i for r in QUERIES["padded_batches_full"](spark, str(tmp_path)).collect()) == [0, 1, 2]
 
 
-def test_line_questions():
+def test_line_questions(spark):
     body = "The interface must be set before use. " * 5
-    assert instruct.line_pairs(f"Configuring the border\n{body}\n\nmore")[0][0] == "How do I configure the border on a Cisco device?"
-    assert instruct.line_pairs(None) == []
+    texts = [
+        f"Configuring the border\n{body}\n\nmore", None, "", f"About:\n{body}", f"Verifying the Path:\n\n\n{body}\nnext line.\n\nnot this", f"Overview of X\n{body}\nUnderstanding Y\nshort",
+        f"Configuring A {'x' * 90}\n{body}", f"Configuring the list\n{body} ... and ...", f"Restrictions for {'a b ' * 3}\n{'word ' * 400}", f"How to Configure It\n{'x' * 300}",
+        "About the limit\n" + "\n".join(["twenty characters .."] * 60),
+    ]
+    got = {}
+    for r in instruct.line_pairs(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect():
+        got.setdefault(r.id, []).append((r.pos, r.instruction, r.response))
+    assert got[0] == [(0, "How do I configure the border on a Cisco device?", body.strip())]
+    assert got[4] == [(0, "How do I verifying the Path?", f"{body}next line.")]
+    assert [x[1] for x in got[5]] == ["Explain the following Cisco topic: Overview of X"]
+    assert got[8][0][1] == "What are the restrictions for a b a b a b?" and len(got[8][0][2]) == 900
+    assert set(got) == {0, 4, 5, 8, 10} and len(got[10][0][2]) == 900 and got[10][0][2].startswith("twenty characters .. twenty")
 
 
 def test_context_length():
