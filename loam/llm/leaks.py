@@ -61,6 +61,66 @@ def _bitmap(terms: DataFrame, count: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _stretches(known: DataFrame, item_key: str, need: int) -> DataFrame:
+    """(item_key, v, j, term, lo, hi, terms, s): every term that is the rarest of some run of ``need`` places of its item.
+
+    The runs of words that begin at lo to hi have it as their anchor and all their terms in the index; ``terms`` are
+    those of the whole stretch by their distance o from the anchor, and s is equal for equal stretches.  Where no
+    run has all its terms lo, hi, terms and s are null.  ``known`` has the terms (item_key, v, j, term, df) that have postings.
+    """
+    kind = known.schema[item_key].dataType.simpleString()
+    pair = pa.struct([("o", pa.int64()), ("other", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            off, flat = lists.offsets.to_numpy(), lists.values
+            j, df, term = (flat.field(k).to_numpy() for k in range(3))
+            n = len(j)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            base = int(off[0])
+            j, df, term = j[base : base + len(row)], df[base : base + len(row)], term[base : base + len(row)]
+            n = len(j)
+            count, best, least = np.zeros(n, np.int64), np.arange(n), np.full(n, np.iinfo(np.int64).max)
+            for d in range(need):
+                i = np.arange(n - d) if d < n else np.zeros(0, np.int64)
+                i = i[(row[i + d] == row[i]) & (j[i + d] < j[i] + need)]
+                count[i] += 1
+                rarer = i[df[i + d] < least[i]]
+                best[rarer], least[rarer] = rarer + d, df[rarer + d]
+            full = np.flatnonzero(count == need)
+            anchors = np.unique(best)
+            # of each anchor the first and the last full run
+            own, first = np.unique(best[full], return_index=True)
+            last = np.append(first[1:], len(full)) - 1
+            begin, size = full[first], full[last] + need - full[first] if len(full) else full
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(full) else full
+            o, other = j[at] - j[np.repeat(own, size)], term[at]
+            with np.errstate(over="ignore"):
+                each = words.mix(other.view(np.uint64) * np.uint64(3) + words.mix(o.view(np.uint64) + np.uint64(1)))
+                until = np.cumsum(size)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
+                s = words.mix(sums[until] - sums[until - size] + words.mix(term[own].view(np.uint64))).view(np.int64) if len(full) else full
+            # anchors without a full run stand among the others with nulls
+            has = np.isin(anchors, own)
+            place = np.full(len(anchors), -1)
+            place[has] = np.arange(len(own))
+            take = pa.array(place, pa.int64(), mask=~has)
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(o), pa.array(other)], fields=list(pair)))
+            rows = pa.array(row[anchors])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(j[anchors]), pa.array(term[anchors]),
+                    pa.array(j[begin], pa.int64()).take(take), pa.array(j[full[last]] if len(full) else full, pa.int64()).take(take), terms.take(take), pa.array(s, pa.int64()).take(take),
+                ],
+                names=[item_key, "v", "j", "term", "lo", "hi", "terms", "s"],
+            )
+
+    lists = known.groupBy(item_key, "v").agg(F.array_sort(F.collect_list(F.struct("j", "df", "term"))).alias("ts"))  # as long as the item
+    return map_arrow(lists, run, f"`{item_key}` {kind}, v bigint, j bigint, term bigint, lo bigint, hi bigint, terms array<struct<o:bigint,other:bigint>>, s bigint")
+
+
 def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = 10, slack: int = 8):
     """Two tables: exact runs, and near matches.
 
@@ -84,17 +144,11 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     index = written(_terms(docs, doc_key, doc_text, keep))
 
     there = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = written(own.join(there, "term"))  # a term without postings is in no run that is found
+    known = own.join(there, "term")  # a term without postings is in no run that is found
     need = run - TERM + 1
-    span = Window.partitionBy(*item).orderBy("j").rangeBetween(0, need - 1)
-    anchors = known.select(*item, F.col("j").alias("at"), F.count(F.lit(1)).over(span).alias("n"), F.min(F.struct("df", "j", "term")).over(span).alias("r"))
-    # a stretch: an anchor and the terms of all runs of words that it is the rarest of
-    stretch = anchors.where(F.col("n") >= need).groupBy(*item, F.col("r.j").alias("j"), F.col("r.term").alias("term")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    stretch = stretch.withColumn("k", F.explode(F.expr(f"sequence(lo, hi + {need - 1})"))).join(known.select(*item, F.col("j").alias("k"), F.col("term").alias("other")), [*item, "k"])
-    stretch = stretch.groupBy(*item, "j", "term", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct((F.col("k") - F.col("j")).alias("o"), "other"))).alias("terms"))
-    stretch = written(stretch.withColumn("s", F.xxhash64("term", "terms")))
+    stretch = written(_stretches(known, item_key, need))
     # equal stretches of several items are looked up once
-    lookups = stretch.groupBy("s").agg(F.first("term").alias("term"), F.first("terms").alias("terms"))
+    lookups = stretch.where("s is not null").groupBy("s").agg(F.first("term").alias("term"), F.first("terms").alias("terms"))
     expect = lookups.join(index, "term").select("s", doc_key, F.col("pos").alias("p"), F.explode("terms").alias("t")).select("s", doc_key, "p", "t.o", (F.col("p") + F.col("t.o")).alias("pos"), F.col("t.other").alias("term"))
     there = expect.join(index, [doc_key, "pos", "term"], "left_semi").groupBy("s", doc_key, "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
     starts = F.filter("os", lambda o, i: F.get("os", i + (need - 1)) == o + (need - 1))  # need consecutive places
@@ -105,7 +159,7 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
         .where(F.col("at").between(F.col("lo"), F.col("hi")))  # other runs have other anchors
         .select(doc_key, *item, (F.col("p") - F.col("j")).alias("diff"), "at")
     )
-    hits = anchors.select(*item, F.col("r.j").alias("j"), F.col("r.term").alias("term")).distinct().join(index, "term").withColumn("diff", F.col("pos") - F.col("j"))
+    hits = stretch.select(*item, "j", "term").join(index, "term").withColumn("diff", F.col("pos") - F.col("j"))
     # both readings of a text count as one; offsets are signed, and each place with the last one of the same term
     half = SECOND >> 1
     d = F.pmod(F.col("diff") + half, F.lit(SECOND)) - half
