@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions import tokenizers
 from loam.session import written
 
 #: Ids of the word tokenizer lie below this; boundaries follow.
@@ -39,10 +40,10 @@ def prefix_sum(df: DataFrame, key: str, n: str) -> DataFrame:
     return parts.withColumn("_w", F.coalesce(F.sum(n).over(within), F.lit(0))).join(F.broadcast(shift), "_p").select(key, n, (F.col("_w") + F.col("_s")).alias("start"))
 
 
-def bounded_ids(ids: Column, bos: bool = False) -> Column:
+def bounded_ids(ids: Column, bos: bool = False, end: int = EOS, begin: int = BOS) -> Column:
     """Ids with their document's boundary tokens."""
-    tail = F.concat(ids, F.array(F.lit(EOS)))
-    return F.concat(F.array(F.lit(BOS)), tail) if bos else tail
+    tail = F.concat(ids, F.array(F.lit(end)))
+    return F.concat(F.array(F.lit(begin)), tail) if bos else tail
 
 
 def spans(docs: DataFrame, key: str, ids: Column, length: int, bos: bool = False) -> DataFrame:
@@ -57,12 +58,15 @@ def spans(docs: DataFrame, key: str, ids: Column, length: int, bos: bool = False
     )
 
 
-def pack(docs: DataFrame, key: str, ids: Column, length: int, bos: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str, ids: Column, length: int, bos: bool = False, end: int = EOS, begin: int = BOS) -> DataFrame:
     """(sequence_id, input_ids): the stream of all documents in key order, cut into full sequences; a rest is dropped.
 
+    ``ids`` is any column of ids (:func:`loam.functions.tokenizers.token_ids` gives those of a public tokenizer), ``end`` and
+    ``begin`` are the boundary ids of its vocabulary.
+
     A document is exploded once per sequence that it touches, never per token.
     """
-    wrapped = written(docs.select(key, bounded_ids(ids, bos).alias("_ids")))
+    wrapped = written(docs.select(key, bounded_ids(ids, bos, end, begin).alias("_ids")))
     at = prefix_sum(wrapped.select(key, F.size("_ids").alias("_n")), key, "_n")
     x = wrapped.join(at, key).withColumn("s", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("_n") - 1) / length))))
     first = F.greatest(F.col("s") * length, F.col("start"))
@@ -100,6 +104,19 @@ def validate(packed: DataFrame, length: int, vocabulary: int) -> DataFrame:
     ).withColumn("dtype", narrowest_dtype(F.col("largest_id")))
 
 
+def compatibility(packed: DataFrame, metrics: DataFrame, length: int, vocabulary: int) -> DataFrame:
+    """(claim, holds): whether packed sequences fit a model of this context length and vocabulary, and the metrics (:func:`pack_metrics`) written with them."""
+    m = packed.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("input_ids").cast("bigint")), F.lit(0)).alias("ids"), F.max(F.array_max("input_ids")).alias("most"), F.min(F.array_min("input_ids")).alias("least"),
+        F.count_if(F.size("input_ids") % length != 0).alias("uneven"),
+    ).join(metrics.select("sequences", "packed_tokens"))  # one row each
+    claims = {
+        "length divides": F.col("uneven") == 0, "ids in vocabulary": F.coalesce((F.col("most") < vocabulary) & (F.col("least") >= 0), F.lit(True)),
+        "packed tokens agree": F.col("ids") == F.col("packed_tokens"), "sequences agree": F.col("ids") == F.col("sequences") * length,
+    }
+    return m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("claim"), v.alias("holds")) for k, v in claims.items()])).alias("c")).select("c.*")
+
+
 def vocabulary_fingerprint(vocabulary: DataFrame, ident: str, token: str) -> DataFrame:
     """(sha256): over lines [id,"token"] in the order of id and token; a vocabulary is a bounded table."""
     line = F.concat(F.lit("["), F.col(ident).cast("string"), F.lit(","), F.to_json(F.array(token)), F.lit("]\n"))
@@ -107,10 +124,17 @@ def vocabulary_fingerprint(vocabulary: DataFrame, ident: str, token: str) -> Dat
     return lines.select(F.sha2(F.array_join(F.transform("v", lambda x: x["l"]), ""), 256).alias("sha256"))
 
 
-def word_pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, n, pieces, unknown): each distinct word of a document once, with its pieces."""
+def word_pieces(docs: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(key, word, n, pieces, unknown): each distinct word of a document once, with its pieces.
+
+    With the ``path`` of a vocabulary file pieces are that tokenizer's, each distinct word of the corpus being
+    encoded once; else they are runs of PIECE.
+    """
     words = docs.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"[^{T.WS}]+"), 0)).alias("word"))
     counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    if path is not None:
+        counted = written(counted)
+        return counted.join(tokenizers.word_counts(counted.select("word").distinct(), "word", path), "word").select(key, "word", "n", "pieces", "unknown")
     return counted.withColumn("pieces", F.regexp_count("word", F.lit(PIECE)).cast("bigint")).withColumn("unknown", F.regexp_count("word", F.lit(r"[^\x00-\x7F]")).cast("bigint"))
 
 

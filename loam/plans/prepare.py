@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import blocks, dedup, gates, packing, splits
+from loam.plans.reuse import identity
 from loam.session import written
 
 
@@ -37,9 +37,7 @@ class PrepareConfig:
 
     def identity(self, *digests: str) -> str:
         """What a finished run can be reused by: its parameters and inputs."""
-        import hashlib
-
-        return hashlib.sha256(json.dumps([asdict(self), sorted(digests)], sort_keys=True).encode()).hexdigest()
+        return identity(asdict(self), *sorted(digests))
 
 
 def context_length(wanted: int | None, limit: int | None = None, auto: int = 8192) -> int:

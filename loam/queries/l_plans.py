@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from loam.plans import prepare as P
 from loam.plans import prompts as PR
+from loam.plans import reuse as R
 from loam.queries import query
 from loam.queries.b_gates import REASONS2, SECOND
-from loam.session import read
+from loam.session import read, scratch
 
 
 @query()
@@ -53,3 +54,14 @@ def prompt_contract(spark, d):
     """Counts by category against those a frozen set must have."""
     return PR.contract(read(spark, d, "domain_exact_generation_queries"), "category", {"routing": 25, "law": 15})
 
+
+
+@query("select coalesce(lang, 'none') as lang, count(*)::bigint as documents, sum(length(coalesce(text, '')))::bigint as characters from documents group by 1")
+def reused_report(spark, d):
+    """A report by language that a second run with the same inputs and options finds finished."""
+    docs, at = read(spark, d, "documents"), scratch(spark, "reports")
+    name = R.identity({"report": "languages"}, R.table_digest(docs.select("doc_id", "lang", "text")))
+    build = lambda: docs.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
+    R.reused(spark, at, name, build)
+    found, held = R.reused(spark, at, name, build)
+    return found.where(F.lit(held))

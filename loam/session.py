@@ -91,6 +91,13 @@ def written(df: DataFrame, partitions: int | None = None, instead_of: DataFrame
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/loam-{os.getpid()}-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

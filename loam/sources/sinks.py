@@ -72,7 +72,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with header; line ends within fields are written as backslash n."""
     flat = [F.replace(F.col(c), F.lit("\n"), F.lit("\\n")).alias(c) if k == "string" else F.col(c) for c, k in rows.dtypes]
-    rows.select(*flat).write.option("header", "true").option("escape", '"').csv(path)
+    rows.select(*flat).write.option("header", "true").option("escape", "\"").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_responses(rows: DataFrame, path: str, by: str = "query_file") -> None:
