@@ -25,11 +25,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.words import INVISIBLE
-from loam.session import map_arrow
+from loam.session import map_arrow, ship
 
 #: Largest sample of pairs that the models are fitted on, buckets of hashed features, labels of the models.
 SAMPLE, BUCKETS, LABELS = 2000, 1 << 17, ("truncated", "refusal", "copy", "language")
@@ -427,11 +427,11 @@ def training_rows(sample: list[tuple[str, str]], profiles: Profiles, rng: random
 class _Rows:
     """Hashed features of all rows for one label; places are numbered densely, so that steps are bincounts."""
 
-    def __init__(self, places: array, values: array, sizes: array):
-        self.start = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-        self.used, self.at = np.unique(np.array(places, np.int64), return_inverse=True)
-        self.value = np.array(values, np.float64)
-        self.row = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
+    def __init__(self, places: np.ndarray, values: np.ndarray, sizes: np.ndarray):
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.used, self.at = np.unique(places, return_inverse=True)
+        self.value = values.astype(np.float64)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.start[rows + 1] - self.start[rows]
@@ -458,8 +458,44 @@ class _Rows:
         return np.bincount(self.row, w[self.at] * self.value, len(self.start) - 1)
 
 
-def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int = 8) -> dict:
-    """The models and cuts, from a sample of pairs; ``held_out`` has the F1 of each label over the folds."""
+def _hashed_batch(asks: list[str], says: list[str], known: frozenset, profiles: Profiles) -> list[pa.ListArray]:
+    """For each label the places and the values of all pairs' features."""
+    made = {label: ([0], array("i"), array("f")) for label in LABELS}
+    for i, r in zip(asks, says):
+        for label, named in features(i, r, known, profiles).items():
+            at, v = _hashed(named)
+            ends, places, values = made[label]
+            places.extend(at)
+            values.extend(v)
+            ends.append(len(places))
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for ends, places, values in made.values() for x in (pa.array(np.frombuffer(places, np.int32), pa.int32()), pa.array(np.frombuffer(values, np.float32), pa.float32()))]
+
+
+def _hashed_rows(rows: list[tuple], known: frozenset, profiles: Profiles, spark: SparkSession | None) -> dict[str, _Rows]:
+    """The hashed features of the rows by label, made by the session's tasks if there is one; the rows follow from a sample of bounded size."""
+    asks, says = [r[1] for r in rows], [r[2] for r in rows]
+    names = [f"{label}_{k}" for label in LABELS for k in ("at", "v")]
+    if spark is None:
+        table = pa.table(_hashed_batch(asks, says, known, profiles), names)
+    else:
+        ship(spark)
+        shared = spark.sparkContext.broadcast((known, profiles))
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), *_hashed_batch(b.column(1).to_pylist(), b.column(2).to_pylist(), *shared.value)], names=["n", *names])
+
+        df = spark.createDataFrame(pa.table([pa.array(range(len(rows)), pa.int64()), pa.array(asks, pa.string()), pa.array(says, pa.string())], ["n", "i", "r"])).repartition(spark.sparkContext.defaultParallelism)
+        table = map_arrow(df, run, "n bigint, " + ", ".join(f"{label}_at array<int>, {label}_v array<float>" for label in LABELS)).toArrow().sort_by("n")
+    out = {}
+    for label in LABELS:
+        at, v = (table.column(f"{label}_{k}").combine_chunks() for k in ("at", "v"))
+        out[label] = _Rows(at.flatten().to_numpy(), v.flatten().to_numpy(), np.diff(at.offsets.to_numpy().astype(np.int64)))
+    return out
+
+
+def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int = 8, spark: SparkSession | None = None) -> dict:
+    """The models and cuts, from a sample of pairs; ``held_out`` has the F1 of each label over the folds. With a session its tasks make the features."""
     rng = random.Random(seed)
     sample = sorted({(i or "", r or "") for i, r in sample})
     # together: most pairs have one language, and more words name it better
@@ -468,15 +504,7 @@ def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int
     words = Counter(w for _, i, r, y in rows if not y for w in set(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", f"{i} {r}")))
     known = frozenset(w.lower() for w, n in words.items() if n >= 3 and w[1:].islower() or w in ("a", "I", "y"))
     known |= frozenset(w for text in REFUSALS.values() for part in text for x in part for w in _WORD.findall(x.lower()))
-    # hashed at once: as dictionaries the features would be most of the driver's memory
-    made = {label: (array("i"), array("f"), array("i")) for label in LABELS}
-    for _, i, r, _ in rows:
-        for label, named in features(i, r, known, profiles).items():
-            at, v = _hashed(named)
-            places, values, sizes = made[label]
-            places.extend(at)
-            values.extend(v)
-            sizes.append(len(at))
+    made = _hashed_rows(rows, known, profiles, spark)
     group = np.array([g for g, *_ in rows], np.int64)
     fold = group % FOLDS
     first = np.concatenate([[True], group[1:] != group[:-1]])
@@ -485,7 +513,7 @@ def fit(sample: list[tuple[str | None, str | None]], seed: int = 7, rounds: int
     judged, doubtful = {}, np.zeros(len(sample), bool)
     for label in LABELS:
         y = np.array([np.nan if f"{label}?" in labels else label in labels for *_, labels in rows], float)
-        x, score, clear = _Rows(*made.pop(label)), np.zeros(len(rows)), ~np.isnan(y)
+        x, score, clear = made.pop(label), np.zeros(len(rows)), ~np.isnan(y)
         for f in range(FOLDS):
             score[fold == f] = x.scores(x.train(y, np.flatnonzero((fold != f) & clear), seed, rounds))[fold == f]
         judged[label] = x, y, score, clear
@@ -553,7 +581,7 @@ def broken_pairs(df: DataFrame, key: str, instruction: str, response: str, model
     """
     kind = df.schema[key].dataType.simpleString()
     if model is None:
-        model = fit(sample_of(df, key, instruction, response))
+        model = fit(sample_of(df, key, instruction, response), spark=df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # four models of BUCKETS floats and the sample's frequent words
 
     def run(batches):
