@@ -266,6 +266,31 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None, o
     return map_arrow(df.select(key, text), run, f"`{key}` {kind}, `{out}` array<int>")
 
 
+def offset_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """``key`` and the pieces of ``text`` in order: where each begins (in code points), how many ids it has, and all ids.
+
+    (key, starts, counts, ids): the ids of piece k follow those of the pieces before it, and piece k ends where the next
+    one begins, so any run of ids can be decoded or cut at a place of the text.  Null and empty texts have empty lists.
+    """
+    data = vocabulary(df.sparkSession, path or tokenizer_path())
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        enc = encoder(data.value)
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b, part in chunks(texts):
+                found, first, starts = pieces(part)
+                lists = list(map(enc.__getitem__, found))
+                n = np.fromiter(map(len, lists), np.int32, len(lists))
+                until = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                ends = pa.array(first.astype(np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(until[first].astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(until[-1]))))
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n)), ids], names=[key, "starts", "counts", "ids"])
+
+    return map_arrow(df.select(key, text), run, f"`{key}` {kind}, starts array<int>, counts array<int>, ids array<int>")
+
+
 def count_column(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """``key`` and the number of ids of ``text``; null and empty texts have 0."""
     data = vocabulary(df.sparkSession, path or tokenizer_path())

@@ -63,6 +63,21 @@ def test_encode_column(spark):
     assert bpe.encode_column(documents(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_offsets_of_a_column(spark):
+    enc = encoder()
+    by_id = {i: b for b, i in enc.ranks.items()}
+    df = documents(spark)
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    got = {r.doc_id: r for r in bpe.offset_column(df, "doc_id", "text").collect()}
+    assert set(got) == set(texts)
+    for k, r in got.items():
+        assert r.ids == REF.encode(texts[k], add_special_tokens=False).ids and sum(r.counts) == len(r.ids)
+        at = 0
+        for start, stop, n in zip(r.starts, [*r.starts[1:], len(texts[k])], r.counts):
+            assert bpe.decode(r.ids[at : at + n], by_id) == texts[k][start:stop]
+            at += n
+
+
 def test_budget_counts_each_token(spark):
     docs = documents(spark).withColumn("source", F.when(F.col("doc_id") == 1, " Ab_c").when(F.col("doc_id") == 4, "AB-C"))
     docs = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en-US").when(F.col("doc_id") == 4, "English")).withColumn("domain", F.lit(None).cast("string"))
