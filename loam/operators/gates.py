@@ -32,6 +32,7 @@ class GateConfig:
     empty_repetition: float = 1.0
     language: str | None = "en"
     language_after_duplicates: bool = False
+    min_probability: float = 0.8
 
 
 def length_of(text: Column, cfg: GateConfig) -> Column:
@@ -73,7 +74,7 @@ def _best(scores: dict[str, Column]) -> Column:
     return out
 
 
-def gate_reasons(docs: DataFrame, key: str, text: str, cfg: GateConfig = GateConfig()) -> DataFrame:
+def gate_reasons(docs: DataFrame, key: str, text: str, cfg: GateConfig = GateConfig(), detected: DataFrame | None = None) -> DataFrame:
     """(key, content_md5, characters, repetition, language, reason, duplicate_of) of every row.
 
     ``reason`` is the first gate that a document fails - length, repetition,
@@ -81,12 +82,19 @@ def gate_reasons(docs: DataFrame, key: str, text: str, cfg: GateConfig = GateCon
     a duplicate always names a kept one, that with the smallest key.  Equal texts pass or fail
     alike, so the smallest key of a digest decides; null text counts as empty.  Texts are read once
     and never shuffled; a digest that a third of all rows share is no hot group.
+
+    ``detected`` has (key, language, probability) of :func:`loam.functions.languages.detect`; below
+    ``cfg.min_probability`` and without an entry the language is undetermined.  Without it frequent words decide.
     """
     x = T.canonical(F.coalesce(F.col(text), F.lit("")))
     m = docs.select(F.col(key), x.alias("_t")).select(
         key, F.md5("_t").alias("content_md5"), length_of(F.col("_t"), cfg).cast("bigint").alias("characters"),
         repetition_ratio(F.col("_t"), cfg).cast("double").alias("repetition"), best_language(language_scores(F.col("_t"))).alias("language"),
     )
+    if detected is not None:
+        sure = F.when(F.col("probability") >= cfg.min_probability, F.col("_language"))
+        seen = detected.select(key, F.col("language").alias("_language"), "probability")
+        m = m.join(seen, key, "left").withColumn("language", F.coalesce(sure, F.lit("undetermined"))).drop("_language", "probability")
     early = F.when(F.col("characters") < cfg.min_chars, "length").when(F.col("repetition") > cfg.max_repetition, "repetition")
     wrong = (F.col("language") != cfg.language) if cfg.language else F.lit(False)
     dup = F.col("_first") < F.col(key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loam.functions import languages as L
 from loam.functions import text as T
 from loam.operators import gates as G
 from loam.queries import query
@@ -62,6 +63,43 @@ def language_scores(spark, d):
     return s.select("doc_id", "s.*", G.best_language(F.col("s")).alias("language"))
 
 
+_DETECTED = r"""
+lt as (select doc_id, lang, regexp_replace(lower(text[1:2000]), '[^\p{L}]+', ' ', 'g') as x from documents where text is not null),
+lc as (select doc_id, lang, list_transform(string_split(x, ''), lambda v: unicode(v)) as c from lt where length(x) >= 3),
+tri as (select doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 65536)) as place from lc),
+prof as (select lang, place, count(*) as n from tri where lang in ('en', 'de', 'fr', 'es') group by all), tot as (select lang, sum(n) as t from prof group by lang),
+own as (select doc_id, place, count(*) as k from tri group by all),
+sc as (select doc_id, tot.lang as lang, sum(k * ln((coalesce(n, 0) + 0.5) / (t + 32768))) as s from own cross join tot left join prof on prof.lang = tot.lang and prof.place = own.place group by all),
+top as (select doc_id, arg_max(lang, s) as language, max(s) as best from sc group by doc_id),
+det as (select doc_id, language, 1 / sum(exp(greatest(s - best, -700))) as probability from sc join top using (doc_id) group by all)
+"""
+
+
+def _detected(spark, d):
+    docs = read(spark, d, "documents")
+    return docs, L.detect(docs, "doc_id", "text", L.profiles(docs.where(F.col("lang").isin("en", "de", "fr", "es")), "text", "lang"))
+
+
+@query("with " + _DETECTED + "select doc_id, language, round(probability, 6) as probability from documents left join det using (doc_id)")
+def detected_languages(spark, d):
+    """Each document's language with its probability, by profiles of all documents that are labelled."""
+    return _detected(spark, d)[1].withColumn("probability", F.round("probability", 6))
+
+
+@query(
+    REASONS.replace("'undetermined'\n       when", "'undetermined' when").replace(
+        "m as (select", "m0 as (select", 1
+    ).replace("f as (select *, min(doc_id) over (partition by content_md5) as first_id from m)", _DETECTED.strip() + """,
+m as (select m0.* exclude (language), case when probability >= 0.8 then det.language else 'undetermined' end as language from m0 left join det using (doc_id)),
+f as (select *, min(doc_id) over (partition by content_md5) as first_id from m)""")
+    + "select language, reason, count(*)::bigint as documents from g group by all"
+)
+def gate_reasons_detected(spark, d):
+    """The gates with detected languages: documents by language and reason."""
+    docs, found = _detected(spark, d)
+    return G.gate_reasons(docs, "doc_id", "text", detected=found).groupBy("language", "reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query(REASONS + "select doc_id, content_md5, characters, round(repetition, 9) as repetition, language, reason, duplicate_of from g")
 def gate_reasons(spark, d):
     """The first failed gate of each document; language before duplicates."""
