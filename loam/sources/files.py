@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import io
+import signal
+import threading
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +49,45 @@ def changed(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame
     return files.join(manifest.select(*known), known, "left_anti"), manifest.join(files.select(*known), known, "left_semi")
 
 
-def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[tuple[str, str | None]]]) -> DataFrame:
-    """(path, pages): a pluggable extractor gives (text, error) of each page; a failing file has one page with its error."""
+def _within(seconds: float | None, f: Callable, x):
+    """``f(x)``, or TimeoutError after so many seconds (in a worker's main thread, where the signal arrives)."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        return f(x)
+
+    def late(*_):
+        raise TimeoutError(f"not done within {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return f(x)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract_pages(files: DataFrame, extractor: Callable[[bytes], Iterable], timeout: float | None = None) -> DataFrame:
+    """(path, pages): a pluggable extractor gives, for each page, (text, error) or a function that makes them.
+
+    A failing file has one page with its error.  ``timeout`` is the seconds that a file's extractor, and each page
+    given as a function, may take: a page that takes longer has an error and the others stand.
+    """
+
+    def page(p):
+        try:
+            return _within(timeout, lambda f: f(), p) if callable(p) else p
+        except Exception as e:  # noqa: BLE001 - one bad page must not end the file
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
         for b in batches:
             out = []
             for content in b.column(1).to_pylist():
                 try:
-                    out.append([{"page_number": n, "text": t, "error": e} for n, (t, e) in enumerate(extractor(content), 1)])
+                    found, pages = [], iter(_within(timeout, extractor, content))
+                    while (p := _within(timeout, lambda it: next(it, None), pages)) is not None:  # page by page: what made them may be open
+                        found.append(page(p))
+                    out.append([{"page_number": n, "text": t, "error": e} for n, (t, e) in enumerate(found, 1)])
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the scan
                     out.append([{"page_number": 0, "text": None, "error": f"{type(e).__name__}: {e}"}])
             kind = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
@@ -62,6 +96,43 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[tuple[str,
     return map_arrow(files.select("path", "content"), run, f"path string, pages {PAGES}")
 
 
+def boxes_overlap(a: tuple, b: tuple) -> bool:
+    """Whether two boxes (left, top, right, bottom) share an area."""
+    return a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+
+
+def pdf_pages(content: bytes, tables: str = "[EXTRACTED TABLES]") -> Iterator[Callable[[], tuple[str, None]]]:
+    """An extractor of PDF files: the prose of each page without what lies in its tables, then the tables as Markdown after a marker line.
+
+    Needs the library pdfplumber on the executors, which nothing else here does.
+    """
+    try:
+        import pdfplumber
+    except ImportError as e:
+        raise ImportError("pdf_pages needs pdfplumber") from e
+
+    def made(p):
+        grids = p.find_tables()
+        boxes = [g.bbox for g in grids]
+        prose = p.filter(lambda o: o.get("object_type") != "char" or not any(boxes_overlap((o["x0"], o["top"], o["x1"], o["bottom"]), x) for x in boxes)) if boxes else p
+        parts = [prose.extract_text() or ""]
+        rows = [t for t in (_markdown(g.extract()) for g in grids) if t]
+        return "\n\n".join([*parts, *([tables + "\n" + "\n\n".join(rows)] if rows else [])]), None
+
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        pages = list(pdf.pages)
+        yield from (functools.partial(made, p) for p in pages)
+
+
+def _markdown(grid: list[list[str | None]]) -> str:
+    rows = [[" ".join((c or "").split()).replace("|", "\\|") for c in r] for r in grid if r and any(c and c.strip() for c in r)]
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
+
+
 def joined_pages(paged: DataFrame, key: str = "path") -> DataFrame:
     """(key, text, pages, empty_pages, failed_pages, starts): filled pages joined by a blank line, with where each begins."""
     full = F.filter(F.transform("pages", lambda p: T.strip(F.coalesce(p["text"], F.lit("")))), lambda t: t != "")

@@ -3,7 +3,9 @@
 import json
 import subprocess
 import sys
+import time
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +85,55 @@ def test_prompts_line(spark):
     assert x.select(files.parse_prompts(F.col("v"))).first()[0] == ["a", "b, c", "d"]
 
 
+def test_pages_that_take_too_long(spark):
+    x = spark.createDataFrame([("f", b"quick"), ("g", b"slow file"), ("h", b"slow page")], "path string, content binary")
+
+    def pages(content):
+        if content == b"slow file":
+            time.sleep(30)
+        yield ("one", None)
+        yield lambda: (time.sleep(30) if content == b"slow page" else None, None)
+        yield lambda: ("three", None)
+
+    got = {r.path: [(p.text, (p.error or "").split(":")[0]) for p in r.pages] for r in files.extract_pages(x, pages, timeout=0.5).collect()}
+    assert got == {"f": [("one", ""), (None, ""), ("three", "")], "g": [(None, "TimeoutError")], "h": [("one", ""), (None, "TimeoutError"), ("three", "")]}
+
+
+def test_prose_without_tables(monkeypatch):
+    """The extractor against a stand-in for its library: characters inside of a table's box are no prose."""
+
+    class Page:
+        def __init__(self, chars, boxes):
+            self.chars, self.boxes = chars, boxes
+
+        def find_tables(self):
+            return [SimpleNamespace(bbox=b, extract=lambda: [["a", "b|c"], [None, "  "], ["1", None]]) for b in self.boxes]
+
+        def filter(self, test):
+            return Page([c for c in self.chars if test(c)], [])
+
+        def extract_text(self):
+            return "".join(c["text"] for c in self.chars)
+
+    char = lambda t, x, y: {"object_type": "char", "text": t, "x0": x, "x1": x + 1, "top": y, "bottom": y + 1}
+    page = Page([char("P", 0, 0), char("T", 10, 10), char("Q", 30, 0)], [(9, 9, 20, 20)])
+
+    class Open:
+        pages = [page, Page([char("R", 0, 0)], [])]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", SimpleNamespace(open=lambda _: Open()))
+    assert [p() for p in files.pdf_pages(b"")] == [("PQ\n\n[EXTRACTED TABLES]\n| a | b\\|c |\n| --- | --- |\n| 1 |  |", None), ("R", None)]
+    monkeypatch.setitem(sys.modules, "pdfplumber", None)
+    with pytest.raises(ImportError, match="pdfplumber"):
+        list(files.pdf_pages(b""))
+
+
 def test_ingest_twice(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("one")
