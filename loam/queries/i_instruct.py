@@ -114,9 +114,18 @@ def pair_provenance(spark, d):
     return x.select((F.col("start") + F.col("i")).cast("bigint").alias("index"), "doc_id", "pos", F.sha2("instruction", 256).alias("instruction_sha256"), F.sha2("response", 256).alias("response_sha256"), "section")
 
 
-@query()
+@query(
+    "with recursive "
+    + _PAIRS
+    + f""", s1 as (select *, {_KEY('instruction')} as ik, {_KEY('response')} as rk from pr),
+s2 as (select *, row_number() over (order by -score, source, instruction, doc_id, pos) as place from (select * from s1 qualify row_number() over (partition by ik, rk order by -score, source, instruction, doc_id, pos) = 1)),
+s3 as (select later, list(earlier) as ahead, row_number() over (order by later) as i from (select a.place as earlier, b.place as later from s2 a join s2 b on a.ik = b.ik and a.place < b.place union select a.place, b.place from s2 a join s2 b on a.rk = b.rk and a.place < b.place) group by later),
+s4 as (select 0::bigint as i, []::bigint[] as dropped union all select s4.i + 1, case when len(list_filter(ahead, lambda x: not list_contains(dropped, x))) > 0 then list_append(dropped, later) else dropped end from s4 join s3 on s3.i = s4.i + 1),
+s5 as (select *, row_number() over (partition by source order by -score, lower(instruction), doc_id)::int as rank from s2 where not list_contains((select arg_max(dropped, i) from s4), place) qualify rank <= 10)
+select doc_id, pos, instruction, source, rank from s5 order by rank, sha256('42:' || source), source limit 200"""
+)
 def pair_selection(spark, d):
-    """The whole builder: pairs, both keys unique, capped by source, taken in turns (no SQL: the choice of pairs is sequential)."""
+    """The whole builder: pairs, both keys unique, capped by source, taken in turns."""
     p = _pairs(spark, d).join(_headed(spark, d).select("doc_id", "source"), "doc_id").withColumn("order", -F.col("score"))
     kept = D.two_key_dedup(p, ["order", "source", "instruction", "doc_id", "pos"], T.alnum_key("instruction"), T.alnum_key("response"))
     return S.round_robin(S.cap_per_group(kept, "source", ["order", F.lower("instruction"), "doc_id"], 10), "source", 200).select("doc_id", "pos", "instruction", "source", "rank")
