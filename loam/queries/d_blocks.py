@@ -161,3 +161,49 @@ def content_removed(spark, d):
 def content_removed_samples(spark, d):
     """Up to three previews of each reason in each document."""
     return B.removal_samples(_cleaned(spark, d), "doc_id")
+
+
+_SPACED = r"^((?:[A-Za-z][ \t]+){2,}[A-Za-z])(?:[ \t]+([0-9]+))?$"
+_UNSPACED = lambda x: f"case when regexp_matches({x}, '{_SPACED}') then upper(regexp_replace(regexp_extract({x}, '{_SPACED}', 1), '[ \\t]+', '', 'g')[1:1]) || lower(regexp_replace(regexp_extract({x}, '{_SPACED}', 1), '[ \\t]+', '', 'g')[2:]) || case when regexp_extract({x}, '{_SPACED}', 2) <> '' then ' ' || regexp_extract({x}, '{_SPACED}', 2) else '' end else {x} end"
+
+
+@query(
+    f"""with n as (select n_nationkey, regexp_replace(n_name, '(.)', '\\1 ', 'g') || case when n_nationkey % 2 = 0 then n_nationkey::varchar else '' end as line from nation),
+s as (select n_nationkey, {STRIP('line')} as s from n) select n_nationkey, {_UNSPACED('s')} as heading from s"""
+)
+def spaced_headings(spark, d):
+    """Headings with blanks between their letters, put right (names, some with a number)."""
+    x = read(spark, d, "nation").select("n_nationkey", F.concat(F.regexp_replace("n_name", "(.)", "$1 "), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("")).alias("line"))
+    return x.select("n_nationkey", B.unspaced_heading(F.col("line")).alias("heading"))
+
+
+@query(
+    "with "
+    + _BLOCKS
+    + f""", x as (select doc_id, pos, list_filter(list_transform(string_split(b, chr(10)), lambda v: regexp_replace(v, '[{WS}]+\\z', '')), lambda v: v <> '') as own from kinds where kind in ('cli', 'table'))
+select doc_id, pos, md5('```text' || chr(10) || array_to_string(own[1:160], chr(10)) || chr(10) || '```') as fence_md5, greatest(len(own) - 160, 0)::int as tail from x"""
+)
+def command_fences(spark, d):
+    """Blocks of commands and tables within a fence, up to 160 lines; the lines beyond are counted."""
+    x = _kinds(spark, d).where("kind in ('cli', 'table')").select("doc_id", "pos", B.fenced(F.col("b")).alias("f"))
+    return x.select("doc_id", "pos", F.md5("f.text").alias("fence_md5"), "f.tail")
+
+
+_WORDS = r"[A-Za-z0-9][\p{L}\p{N}_/-]*"
+
+
+@query(
+    "with "
+    + _BLOCKS
+    + f""", v as (select doc_id, pos, unnest(string_split(b, chr(10))) as v, generate_subscripts(string_split(b, chr(10)), 1) as i from kinds where kind = 'prose'),
+u0 as (select doc_id, pos, i, {STRIP('v')} as s from v), u as (select doc_id, pos, i, {_UNSPACED('s')} as s from u0),
+w as (select *, regexp_extract_all(s, '{_WORDS}') as w from u),
+q as (select *, case when s = '' then 'blank' when regexp_matches(s, '{B.BULLET}') then 'bullet' when {_HEAD} then 'heading' else 'text' end as part from w),
+g as (select *, sum(case when part = 'text' and before = 'text' then 0 else 1 end) over (partition by doc_id, pos order by i) as g from (select *, lag(part) over (partition by doc_id, pos order by i) as before from q)),
+p as (select doc_id, pos, g, any_value(part) as part, list_reduce(array_agg(s order by i), lambda x, y: case when ends_with(x, '-') and regexp_matches(y, '^[\\p{{Ll}}]') then x[:-2] || y else x || ' ' || y end) as x from g group by all)
+select doc_id, pos, md5(array_to_string(array_agg(case when part = 'heading' then x else {SQUEEZE('x')} end order by g), chr(10) || chr(10))) as text_md5, case when bool_and(part = 'heading') then 'heading' else 'prose' end as kind from p where part <> 'blank' group by doc_id, pos"""
+)
+def reflowed_blocks(spark, d):
+    """Blocks of prose with their wrapped lines joined; bullets and headings stand alone."""
+    x = B.reflow_blocks(_kinds(spark, d).where("kind = 'prose'"), ["doc_id", "pos"], "b")
+    return x.select("doc_id", "pos", F.md5("text").alias("text_md5"), "kind")

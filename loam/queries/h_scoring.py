@@ -55,6 +55,13 @@ def _rounded(df, *columns):
     return df
 
 
+@query(f"with {_SCORED}, t as (select query_id, round(max(coverage), 9) as best, count(*)::bigint as responses from sc where coverage is not null and query_id is not null group by query_id) select query_id, best, responses from t order by best desc, responses desc, query_id limit 25")
+def top_results(spark, d):
+    """The twenty-five queries of the best coverage over all models and stages (a top-k report)."""
+    x = _scored(spark, d).where("coverage is not null and query_id is not null").groupBy("query_id").agg(F.round(F.max("coverage"), 9).alias("best"), F.count(F.lit(1)).alias("responses"))
+    return x.orderBy(F.desc("best"), F.desc("responses"), "query_id").limit(25)
+
+
 @query(f"with {_SCORED} select response_id, query_set, {_VALUES} from sc")
 def response_scores(spark, d):
     """Concept recall, exact and common prefix, coverage and repetition of each response."""

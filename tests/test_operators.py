@@ -80,6 +80,13 @@ def test_content_cleaner():
     assert len(blocks.clean_document(commands)[1].split("\n")) == 162
 
 
+def test_fences_and_spaced_headings(spark):
+    long = "\n".join(f"show item {i}  " for i in range(200))
+    assert tuple(one(spark, long, blocks.fenced)) == ("```text\n" + "\n".join(f"show item {i}" for i in range(160)) + "\n```", 40)
+    for line in ("C H A P T E R 1", "  O v e r v i e w ", "A B", "Plain words", "N o t e  12 ", ""):
+        assert one(spark, line, blocks.unspaced_heading) == blocks.unspaced(line)
+
+
 def test_front_matter():
     toc = ["Table of Contents", *[f"{i}. x" for i in range(6)], "1.  Introduction", "body"]
     assert blocks.front_ranges(toc, "rfc") == [(0, 7, "table_of_contents")]
