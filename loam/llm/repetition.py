@@ -88,8 +88,8 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_words, n_repeated, the RULES' measures, pattern) of every row.
 
     Words are lower-cased runs of letters.  A text that is null, empty or without
-    letters has no words and measures 0; every rule abstains on texts of fewer than LEAST words.
-    The pattern has a digit for each rule: 0 sound, 1 repetitive, 2 abstains.
+    letters has no words and measures 0.  The pattern has a digit for each rule: 0 sound, 1 repetitive,
+    2 abstains; on texts of fewer than LEAST words no rule votes, and the pattern is null.
     """
     kind = df.schema[key].dataType.simpleString()
     high = np.array([a for a, _ in RULES.values()])
@@ -101,9 +101,9 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
                 h, first, _, _ = words.word_hashes([x.lower() for x in part], digits=False)
                 n = np.diff(first)
                 again, m = _measures(part, h, first)
-                vote = np.where(n[:, None] < LEAST, 2, np.where(m >= high, 1, np.where(m <= low, 0, 2)))
+                vote = np.where(m >= high, 1, np.where(m <= low, 0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(again), *[pa.array(m[:, j]) for j in range(len(RULES))], pa.array(["".join(map(str, v)) for v in vote], pa.string())],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(again), *[pa.array(m[:, j]) for j in range(len(RULES))], pa.array(["".join(map(str, v)) if k >= LEAST else None for k, v in zip(n, vote)], pa.string())],
                     names=[key, "n_words", "n_repeated", *RULES, "pattern"],
                 )
 
@@ -147,11 +147,12 @@ def score(df: DataFrame, key: str, text: str, cut: float = CUT) -> tuple[DataFra
     """(key, n_words, n_repeated, measures, p_repetitive, flagged) of every row, and the estimate.
 
     A text is flagged where the posterior of its votes is at least ``cut``; no rule decides by itself, and
-    nothing but the counts of vote patterns over all rows enters the estimate.  Rows delivered twice
+    nothing but the counts of vote patterns over all rows enters the estimate.  Texts of fewer than LEAST words have
+    probability 0, however common repetition is.  Rows delivered twice
     give equal rows; an empty table gives none.
     """
     made = written(measures(df, key, text))
-    seen = made.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 to the number of rules rows
+    seen = made.where("pattern is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 to the number of rules rows
     model = estimate({r.pattern: r.n for r in seen}) | {"cut": cut}
     table = F.create_map(*[F.lit(x) for kv in sorted(model["posterior"].items()) for x in kv]) if seen else F.create_map().cast("map<string,double>")
     out = made.withColumn("p_repetitive", F.coalesce(F.try_element_at(table, F.col("pattern")), F.lit(0.0)))
