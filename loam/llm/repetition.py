@@ -114,8 +114,8 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
 def estimate(patterns: dict[str, int], rounds: int = 200) -> dict:
     """EM over vote patterns: the share of repetitive texts, each rule's votes by class, and each pattern's posterior.
 
-    A rule that abstains says nothing.  The start trusts every rule a little, so class 1
-    is the repetitive one.
+    A rule that abstains says nothing.  The start trusts every rule a little, and no rule may become
+    worse than chance on either class, so class 1 is the repetitive one even where nearly all texts are of one class.
     """
     names = sorted(patterns)
     votes = np.array([[int(c) for c in p] for p in names], int).reshape(len(names), len(RULES))
@@ -131,6 +131,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> dict:
             w = weight * count
             yes, no = ((votes == 1) * w[:, None]).sum(0), ((votes == 0) * w[:, None]).sum(0)
             by_class.append((yes + 1) / (yes + no + 2))
+        by_class = [np.minimum(by_class[0], 0.5), np.maximum(by_class[1], 0.5)]  # no rule is worse than chance on either class
         logit = np.full(len(names), np.log(prior / (1 - prior)))
         for j in range(votes.shape[1]):
             yes, no = np.log(by_class[1][j] / by_class[0][j]), np.log((1 - by_class[1][j]) / (1 - by_class[0][j]))
