@@ -23,6 +23,8 @@ from loam.session import map_arrow, written
 RUN, LEAST, SHARE = 4, 12, 0.30
 #: Posterior probability from which a text is repetitive.
 CUT = 0.5
+#: How often a rule is right before any text is seen, and the weight of that as a share of all texts.
+TRUST, WEIGHT = 0.8, 0.05
 #: The rules: measure, votes "repetitive" from here, votes "sound" up to here; between them a rule abstains.
 RULES = {
     "run_share": (SHARE, 0.10),
@@ -114,8 +116,8 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
 def estimate(patterns: dict[str, int], rounds: int = 200) -> dict:
     """EM over vote patterns: the share of repetitive texts, each rule's votes by class, and each pattern's posterior.
 
-    A rule that abstains says nothing.  The start trusts every rule a little, and no rule may become
-    worse than chance on either class, so class 1 is the repetitive one even where nearly all texts are of one class.
+    A rule that abstains says nothing.  Each rule is held, with the weight of a few percent of all texts, to be
+    right with probability TRUST on either class, so class 1 is the repetitive one even where nearly all texts are of one class.
     """
     names = sorted(patterns)
     votes = np.array([[int(c) for c in p] for p in names], int).reshape(len(names), len(RULES))
@@ -124,14 +126,14 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> dict:
         return {"prior": 0.0, "right": {}, "posterior": {p: 0.0 for p in names}}
     for_, against = (votes == 1).sum(1), (votes == 0).sum(1)
     q = np.where(for_ + against > 0, (for_ + 0.5) / (for_ + against + 1), 0.05)
+    held = max(2.0, WEIGHT * count.sum())
     for _ in range(rounds):
         prior = np.clip((q * count).sum() / count.sum(), 1e-4, 1 - 1e-4)
         by_class = []
-        for weight in (1 - q, q):
+        for weight, trust in ((1 - q, 1 - TRUST), (q, TRUST)):
             w = weight * count
             yes, no = ((votes == 1) * w[:, None]).sum(0), ((votes == 0) * w[:, None]).sum(0)
-            by_class.append((yes + 1) / (yes + no + 2))
-        by_class = [np.minimum(by_class[0], 0.5), np.maximum(by_class[1], 0.5)]  # no rule is worse than chance on either class
+            by_class.append((yes + held * trust) / (yes + no + held))
         logit = np.full(len(names), np.log(prior / (1 - prior)))
         for j in range(votes.shape[1]):
             yes, no = np.log(by_class[1][j] / by_class[0][j]), np.log((1 - by_class[1][j]) / (1 - by_class[0][j]))
