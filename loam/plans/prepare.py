@@ -75,7 +75,11 @@ def reasons(docs: DataFrame, key: str, text: str, cfg: PrepareConfig) -> DataFra
     lost = kept.where("not kept").select(key).join(best, key)
     near = copies.join(lost, key, "left").select(key, F.coalesce("_near", "_copy").alias("_of")).where("_of is not null")
     out = r.join(near, key, "left")
-    return out.withColumn("reason", F.coalesce("reason", F.when(F.col("_of").isNotNull(), "near_duplicate"))).withColumn("duplicate_of", F.coalesce("duplicate_of", "_of")).drop("_of")
+    out = out.withColumn("reason", F.coalesce("reason", F.when(F.col("_of").isNotNull(), "near_duplicate"))).withColumn("duplicate_of", F.coalesce("duplicate_of", "_of")).drop("_of")
+    # a copy of a text that is dropped for a kept one is a near duplicate of that kept one
+    of = F.coalesce("_kept", "duplicate_of")
+    out = out.join(lost.select(F.col(key).alias("duplicate_of"), F.col("_near").alias("_kept")), "duplicate_of", "left").withColumn("reason", F.when(F.col("_kept").isNotNull(), "near_duplicate").otherwise(F.col("reason")))
+    return out.withColumn("duplicate_of", of).select(*r.columns)
 
 
 def prepare(docs: DataFrame, key: str, text: str, cfg: PrepareConfig = PrepareConfig()) -> dict[str, DataFrame]:

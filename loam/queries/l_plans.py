@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loam.operators import dedup as D
 from loam.plans import prepare as P
 from loam.plans import prompts as PR
 from loam.plans import reuse as R
 from loam.queries import query
-from loam.queries.b_gates import REASONS2, SECOND
+from loam.queries.b_gates import REASONS, REASONS2, SECOND
+from loam.queries.c_dedup import _PERMS
 from loam.session import read, scratch
 
 
@@ -65,3 +67,38 @@ def reused_report(spark, d):
     R.reused(spark, at, name, build)
     found, held = R.reused(spark, at, name, build)
     return found.where(F.lit(held))
+
+
+_RECORDS = "documents as (select record_id as doc_id, extracted_text as text, lang from rfc4136),\n"
+_ONE_BY_ONE = rf"""
+z0 as (select g.doc_id, text from g join documents using (doc_id) where {{passed}}),
+z1 as (select min(doc_id) as k, regexp_extract_all(lower(text), '[\p{{{{L}}}}\p{{{{N}}}}_]+') as w from z0 where text is not null group by text),
+z2 as (select k, unnest(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) else w end)) as s from z1),
+z3 as (select k, ('0x' || md5(s)[1:8])::bigint as h from z2),
+z4 as (select k, i, min((a::bigint * h + b::bigint) % {D.PRIME}) as m from z3, (values {_PERMS}) t(i, a, b) group by k, i),
+z5 as (select x.k as a, y.k as b, count(*) / 128.0 as similarity from z4 x join z4 y on x.i = y.i and x.m = y.m and x.k < y.k group by all having count(*) >= 0.85 * 128),
+z6 as (select b, list(a) as ahead, row_number() over (order by b) as n from z5 group by b),
+z7 as (select 0::bigint as n, []::bigint[] as dropped union all select z7.n + 1, case when len(list_filter(ahead, lambda a: not list_contains(dropped, a))) > 0 then list_append(dropped, b) else dropped end from z7 join z6 on z6.n = z7.n + 1),
+z8 as (select arg_max(dropped, n) as dropped from z7),
+z9 as (select b as k, (array_agg(a order by similarity desc, a))[1] as near from z5, z8 where list_contains(dropped, b) and not list_contains(dropped, a) group by b),
+y1 as (select doc_id as k, min(doc_id) over (partition by text) as copy from z0 where text is not null),
+y2 as (select g.doc_id, {{reason}} as reason, {{of}} as of, z9.near, case when y1.copy < y1.k then y1.copy end as copy from g left join z9 on z9.k = g.doc_id left join y1 on y1.k = g.doc_id),
+y3 as (select doc_id, coalesce(reason, case when coalesce(near, copy) is not null then 'near_duplicate' end) as reason, coalesce(of, near, copy) as of from y2)
+select doc_id, case when z9.near is not null then 'near_duplicate' else reason end as reason, coalesce(z9.near, of) as duplicate_of from y3 left join z9 on z9.k = y3.of"""
+
+
+def _strategy(spark, d, strategy):
+    x = read(spark, d, "rfc4136").select(F.col("record_id").alias("doc_id"), F.col("extracted_text").alias("text"))
+    return P.reasons(x, "doc_id", "text", P.PrepareConfig(strategy=strategy)).select("doc_id", "reason", "duplicate_of")
+
+
+@query("with recursive " + _RECORDS + REASONS.removeprefix("with ").rstrip() + "," + _ONE_BY_ONE.format(passed="reason is null", reason="g.reason", of="duplicate_of"))
+def dedup_strategy_both(spark, d):
+    """Gates with exact and near duplicates: each dropped record names one that is kept."""
+    return _strategy(spark, d, "both")
+
+
+@query("with recursive " + _RECORDS + REASONS.removeprefix("with ").rstrip() + "," + _ONE_BY_ONE.format(passed="reason is null or reason = 'exact_duplicate'", reason="nullif(g.reason, 'exact_duplicate')", of="null::bigint"))
+def dedup_strategy_near(spark, d):
+    """Gates with near duplicates only: exact copies are near duplicates too."""
+    return _strategy(spark, d, "near")

@@ -345,3 +345,19 @@ def test_jaccard_pairs(spark):
     want = {p: v for p, v in want.items() if v >= 0.85}
     got = {(r.a, r.b): r.similarity for r in dedup.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "k bigint, text string"), "k", "text").collect()}
     assert got == want and len(want) > 10
+
+
+def test_lineage_names_kept_documents(spark):
+    """Whatever the strategy, what a dropped document names is kept; a copy of a near duplicate names what that is near to."""
+    base = [f"w{i}" for i in range(300)]
+    near = [*base[:299], "edit"]
+    texts = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(near)), (4, " ".join(base)), (5, "other words " * 40), (6, None)]
+    df = spark.createDataFrame(texts, "k bigint, t string")
+    for strategy in ("exact", "near", "both"):
+        cfg = prepare.PrepareConfig(strategy=strategy, gates=gates.GateConfig(language=None))
+        got = {r.k: (r.reason, r.duplicate_of) for r in prepare.reasons(df, "k", "t", cfg).collect()}
+        kept = {k for k, (reason, _) in got.items() if reason is None}
+        assert len(got) == 6 and all(of in kept for _, of in got.values() if of is not None), strategy
+        if strategy != "exact":
+            assert got[2] == got[3] == ("near_duplicate", 1)
+            assert got[4] == (("near_duplicate" if strategy == "near" else "exact_duplicate"), 1)
