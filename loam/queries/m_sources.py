@@ -170,3 +170,12 @@ def pack_compatibility(spark, d):
     packed = P.pack(docs, "doc_id", P.word_ids(F.col("text")), 128)
     return P.compatibility(packed, P.pack_metrics(P.spans(docs, "doc_id", P.word_ids(F.col("text")), 128), 128), 128, P.EOS + 2)
 
+
+@query(
+    """with n as (select n_nationkey::varchar as k, n_name as name, n_regionkey::varchar as r from nation), w as (select greatest(11, max(length(k))) as a, greatest(6, max(length(name))) as b, greatest(11, max(length(r))) as c from n)
+select rtrim(lpad(k, a::int, ' ') || '  ' || rpad(name, b::int, ' ') || '  ' || lpad(r, c::int, ' ')) as value from n, w union all
+select rtrim(lpad('n_nationkey', a::int, ' ') || '  ' || rpad('n_name', b::int, ' ') || '  ' || lpad('n_regionkey', c::int, ' ')) from w union all select repeat('-', a::int) || '  ' || repeat('-', b::int) || '  ' || repeat('-', c::int) from w"""
+)
+def aligned_table(spark, d):
+    """A table for a console, columns aligned."""
+    return sinks.aligned_rows(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))

@@ -91,3 +91,18 @@ def markdown_rows(rows: DataFrame, most: int = 240) -> DataFrame:
     bar = lambda parts: F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
     head = rows.sparkSession.createDataFrame([("| " + " | ".join(rows.columns) + " |",), ("|" + " --- |" * len(rows.columns),)], "value string")
     return head.unionByName(rows.select(bar([cell(c) for c in rows.columns]).alias("value")))
+
+
+def aligned_rows(rows: DataFrame, most: int = 60) -> DataFrame:
+    """(value): a table for a console: cells clipped and padded to their column's width, numbers to the right; header and rule first.
+
+    Widths come from one aggregate; the order of rows is the caller's.
+    """
+    numbers = {c for c, k in rows.dtypes if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")}
+    cells = rows.select(*[T.clip(F.coalesce(F.col(c).cast("string"), F.lit("")), most, "…").alias(c) for c in rows.columns])
+    seen = cells.agg(*[F.max(F.length(c)).alias(c) for c in cells.columns]).first()  # one row
+    width = {c: max(len(c), seen[c] or 0) for c in cells.columns}
+    pad = lambda c, x: F.lpad(x, width[c], " ") if c in numbers else F.rpad(x, width[c], " ")
+    head = ["  ".join(c.rjust(width[c]) if c in numbers else c.ljust(width[c]) for c in cells.columns), "  ".join("-" * width[c] for c in cells.columns)]
+    body = cells.select(F.rtrim(F.concat_ws("  ", *[pad(c, F.col(c)) for c in cells.columns])).alias("value"))
+    return rows.sparkSession.createDataFrame([(h.rstrip(),) for h in head], "value string").unionByName(body)
