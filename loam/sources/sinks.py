@@ -28,6 +28,9 @@ def write_flat(packed: DataFrame, folder: str, dtype: str = "uint16") -> None:
     ``folder`` is on storage that all executors share.  Files are written under a
     temporary name and renamed, so a task that runs twice leaves one file.
     """
+    folder = folder.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError(f"{folder} is no path of a file system that executors mount")
     ship(packed.sparkSession)
     most = np.iinfo(dtype).max
 
