@@ -57,10 +57,31 @@ def common_prefix_ratio(response: Column, expected: Column) -> Column:
     return T.let(T.words(response), lambda r: T.let(T.words(expected), lambda e: F.when(F.size(e) == 0, F.lit(0.0)).otherwise(share(r, e))))
 
 
+#: Product of two arrays' sizes up to which their words are counted one by one.
+PRODUCT = 10_000
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """The size of the intersection of two arrays as bags."""
+    """The size of the intersection of two arrays as bags.
+
+    Short arrays are counted word by word; the effort of that is the product of their sizes, so long ones are sorted
+    together and folded once over the runs of equal words.
+    """
     count = lambda x, w: F.size(F.filter(x, lambda v: v == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
+    short = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
+    tagged = lambda x, one: F.transform(x, lambda v: F.struct(v.alias("w"), F.lit(one).alias("one")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("n"))
+
+    def step(acc, v):
+        same = acc["w"] == v["w"]
+        kept = lambda k: F.when(same, acc[k]).otherwise(0)
+        return F.struct(
+            v["w"].alias("w"), (kept("x") + F.when(v["one"], 1).otherwise(0)).alias("x"), (kept("y") + F.when(v["one"], 0).otherwise(1)).alias("y"),
+            F.when(same, acc["n"]).otherwise(acc["n"] + F.least(acc["x"], acc["y"])).alias("n"),
+        )
+
+    long = F.aggregate(F.array_sort(F.concat(tagged(a, True), tagged(b, False))), start, step, lambda acc: acc["n"] + F.least(acc["x"], acc["y"]))
+    return F.when(F.size(a) * F.size(b) <= PRODUCT, short).otherwise(long)
 
 
 def coverage(response: Column, expected: Column) -> Column:

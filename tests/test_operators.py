@@ -1,6 +1,7 @@
 """Worked examples at the edges of the rules."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -347,6 +348,16 @@ def test_jaccard_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_overlap_of_short_and_long_bags(spark, monkeypatch):
+    rng = random.Random(3)
+    bags = [([rng.choice("abcdef") for _ in range(rng.randrange(0, 30))], [rng.choice("abcdxy") for _ in range(rng.randrange(0, 30))]) for _ in range(60)] + [(["a"] * 500, ["a"] * 300 + ["b"] * 9), ([], ["a"]), ([], [])]
+    df = spark.createDataFrame([(i, *b) for i, b in enumerate(bags)], "k bigint, a array<string>, b array<string>")
+    want = {i: sum((Counter(a) & Counter(b)).values()) for i, (a, b) in enumerate(bags)}
+    for most in (scoring.PRODUCT, -1):
+        monkeypatch.setattr(scoring, "PRODUCT", most)
+        assert {r.k: r.n for r in df.select("k", scoring.overlap(F.col("a"), F.col("b")).alias("n")).collect()} == want
+
+
 def test_lineage_names_kept_documents(spark):
     """Whatever the strategy, what a dropped document names is kept; a copy of a near duplicate names what that is near to."""
     base = [f"w{i}" for i in range(300)]
